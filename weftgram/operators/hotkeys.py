@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgram.operators.accumulate import count_splits, sum_blocks
+from weftgram.runtime import with_scalars
 
 
 def one_blank(c: Column) -> Column:
@@ -33,7 +34,7 @@ def key_profile(records: DataFrame, record_id: str, key: str, item: str) -> Data
     measures = ["n_records", "n_items"]
     totals = sum_blocks(count_splits(by_record.unionByName(by_item), "key", measures), ["key"], measures)
     n = rows.filter("rid IS NOT NULL").select("rid").distinct().agg(F.count(F.lit(1)).alias("n_all"))
-    return totals.crossJoin(F.broadcast(n)).select(
+    return with_scalars(totals, n).select(
         "key", "n_records", "n_items",
         F.when(F.col("n_items") > 0, 1 / F.col("n_items")).alias("flat_score"),
         "n_all", (F.col("n_records") / F.col("n_all")).alias("share"),

@@ -81,10 +81,10 @@ ORACLE = {
       round(1.0::DOUBLE / nullif(count(DISTINCT target), 0), 9) AS flat_score FROM pairs WHERE source IS NOT NULL GROUP BY source""",
     "p7_found": f"""WITH {_COPY.format(x='a')}, {_COPY.format(x='b')}, m AS (SELECT s, t, a.s IS NOT NULL AS in_a, b.s IS NOT NULL AS in_b,
         a.sc AS sa, b.sc AS sb, a.wa AS wa, b.wa AS wb, a.cnt AS ca, b.cnt AS cb FROM a FULL JOIN b USING (s, t))
-      SELECT s, t, 'only_a' AS diff FROM m WHERE NOT in_b UNION ALL SELECT s, t, 'only_b' FROM m WHERE NOT in_a
-      UNION ALL SELECT s, t, 'wa' FROM m WHERE in_a AND in_b AND wa IS DISTINCT FROM wb
-      UNION ALL SELECT s, t, 'cnt' FROM m WHERE in_a AND in_b AND ca IS DISTINCT FROM cb
-      UNION ALL SELECT s, t, 'sc' FROM m WHERE in_a AND in_b AND ((sa IS NULL) <> (sb IS NULL) OR len(sa) <> len(sb)
+      SELECT s, t, 'only_a' AS diff FROM m WHERE NOT in_b UNION SELECT s, t, 'only_b' FROM m WHERE NOT in_a
+      UNION SELECT s, t, 'wa' FROM m WHERE in_a AND in_b AND wa IS DISTINCT FROM wb
+      UNION SELECT s, t, 'cnt' FROM m WHERE in_a AND in_b AND ca IS DISTINCT FROM cb
+      UNION SELECT s, t, 'sc' FROM m WHERE in_a AND in_b AND ((sa IS NULL) <> (sb IS NULL) OR len(sa) <> len(sb)
         OR len(list_filter(range(1, len(sa) + 1), lambda i: sa[i] IS DISTINCT FROM sb[i]
           AND (isnan(sa[i]) OR isnan(sb[i]) OR sa[i] IS NULL OR sb[i] IS NULL OR abs(sa[i] - sb[i]) > 1e-9))) > 0)""",
 }

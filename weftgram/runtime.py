@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spaces, tabs and carriage returns, as a regular expression class.
 BLANK = r"[ \t\r]"
@@ -45,3 +46,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of an aggregate of exactly one row to every row."""
+    key = F.lit(1).alias("__one")
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.select("*", key)), "__one").drop("__one")
