@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgram.plans import data_queries
+from weftgram.plans import align_queries, corpus_queries, data_queries, graph_queries
 
-MODULES = [data_queries]
+MODULES = [corpus_queries, graph_queries, align_queries, data_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p2_found"](spark, sf_dir)
+    return queries()["pattern_listing"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

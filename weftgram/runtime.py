@@ -49,6 +49,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of an aggregate of exactly one row to every row."""
-    key = F.lit(1).alias("__one")
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.select("*", key)), "__one").drop("__one")
+    """Add the columns of an aggregate of exactly one row to every row, as a scalar subquery."""
+    value = one_row.select(F.struct(*one_row.columns).alias("v")).scalar()
+    joined = df.withColumn("__v", value)
+    return joined.select(*df.columns, *(F.col(f"__v.{c}").alias(c) for c in one_row.columns))
