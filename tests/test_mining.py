@@ -131,7 +131,7 @@ def test_skipgrams_against_loops(spark):
 
 def test_entropy(corpus):
     mined = mining.mine(corpus, 4, mining.Thresholds(2, 2, 2), skipgrams=True, gap=GAP)
-    r = mining.skip_entropy(mined.skip_postings).first()
+    r = mining.skip_entropy(mined.contents).first()
     assert (r["cnt"], r["skip_types"]) == (6, 2) and r["entropy"] == pytest.approx(0.9183, abs=1e-4)
 
 

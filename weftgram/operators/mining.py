@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
@@ -122,62 +122,58 @@ def _masks(n: int, initial_only: bool, final_only: bool) -> list[tuple[int, ...]
     return keep
 
 
-def skip_candidates(windows: DataFrame, n: int, gap, initial_only: bool = True, final_only: bool = True) -> DataFrame:
-    """``pattern, inst, sid, pos``: windows with holes punched by every configuration."""
+def skip_contents(windows: DataFrame, n: int, gap, initial_only: bool = True, final_only: bool = True) -> DataFrame:
+    """``pattern, inst, c``: holes punched into the distinct n-grams by every configuration.
+
+    An instance and a skipgram determine the content, so contents are kept as instances.
+    """
     masks = _masks(n, initial_only, final_only)
     literal = F.array(*(F.array(*map(F.lit, m)) for m in masks))
-    punched = windows.select(F.col("pattern").alias("inst"), "sid", "pos", F.explode(literal).alias("m"))
-    return punched.select(P.punch("inst", "m", gap).alias("pattern"), "inst", "sid", "pos")
-
+    types = windows.groupBy(F.col("pattern").alias("inst")).agg(F.count(F.lit(1)).alias("c"))
+    punched = types.select("inst", "c", F.explode(literal).alias("m"))
+    return punched.select(P.punch("inst", "m", gap).alias("pattern"), "inst", "c")
 
-def known_pieces(cands: DataFrame, known: DataFrame, gap, least: int, which: str) -> DataFrame:
-    """Keep candidates whose parts (or gap fillers) are all known with ``least`` occurrences.
 
-    Works on distinct pieces: a candidate is dropped if one of them is missing.
-    """
-    pieces = P.parts("pattern", gap) if which == "parts" else P.fillers("inst", "pattern", gap)
-    key = ["pattern"] if which == "parts" else ["pattern", "inst"]
-    distinct = cands.select(*key).distinct()
-    exploded = distinct.select(*key, F.explode(F.array_distinct(pieces)).alias("piece"))
+def with_known_fillers(contents: DataFrame, known: DataFrame, gap, least: int) -> DataFrame:
+    """Contents of whose gap fillers each occurs ``least`` times as a pattern of its own."""
+    exploded = contents.select("pattern", "inst", F.explode(F.array_distinct(P.fillers("inst", "pattern", gap))).alias("piece"))
     good = known.filter(F.col("cnt") >= least).select(F.col("pattern").alias("piece"))
-    bad = exploded.join(good, "piece", "left_anti").select(*key).distinct()
-    return cands.join(bad, key, "left_anti")
+    bad = exploded.join(good, "piece", "left_anti").select("pattern", "inst").distinct()
+    return contents.join(bad, ["pattern", "inst"], "left_anti")
 
 
-def prune_skipgrams(cands: DataFrame, t: Thresholds, gap) -> DataFrame:
-    """``pattern, content, inst, sid, pos`` of the skipgrams that stay.
+def prune_skipgrams(contents: DataFrame, t: Thresholds, gap) -> DataFrame:
+    """The contents (``pattern, inst, c``) of the skipgrams that stay.
 
     First skipgrams with too few occurrences or contents go, then contents with too
     few occurrences, then skipgrams again on what is left, each gap position of which
     must show ``skip_types`` different tokens.
     """
+
     def enough(rows: DataFrame) -> DataFrame:
-        per_content = rows.groupBy("pattern", "inst").agg(F.count(F.lit(1)).alias("c"))
-        kept = per_content.groupBy("pattern").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"))
-        kept = kept.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types)).select("pattern")
-        return per_content.join(kept, "pattern", "left_semi")
-
-    # an instance and a skipgram determine the content, so contents are counted by instance
-    first = enough(cands)
-    contents = first.filter(F.col("c") >= t.skip_tokens).select("pattern", "inst", "c")
-    again = contents.groupBy("pattern").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"))
-    again = again.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types)).select("pattern")
-    contents = contents.join(again, "pattern", "left_semi")
-    token = contents.select("pattern", F.posexplode(F.arrays_zip(F.col("inst").alias("x"), F.col("pattern").alias("y"))).alias("i", "z"))
-    varied = token.filter(F.col("z.y") == F.lit(gap)).groupBy("pattern", "i").agg(F.count_distinct("z.x").alias("d"))
-    varied = varied.groupBy("pattern").agg(F.min("d").alias("d")).filter(F.col("d") >= t.skip_types).select("pattern")
-    contents = contents.join(varied, "pattern", "left_semi").select("pattern", "inst")
-    kept = cands.join(contents, ["pattern", "inst"], "left_semi")
-    return kept.select("pattern", P.skip_content("inst", "pattern", gap).alias("content"), "inst", "sid", "pos")
+        sums = rows.groupBy("pattern").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"))
+        kept = sums.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types)).select("pattern")
+        return rows.join(kept, "pattern", "left_semi")
+
+    left = enough(contents).filter(F.col("c") >= t.skip_tokens).persist(StorageLevel.MEMORY_AND_DISK)
+    left = enough(left).persist(StorageLevel.MEMORY_AND_DISK)
+    token = left.select("pattern", F.posexplode(F.arrays_zip(F.col("inst").alias("x"), F.col("pattern").alias("y"))).alias("i", "z"))
+    shown = token.filter(F.col("z.y") == F.lit(gap)).groupBy("pattern", "i", "z.x").agg(F.lit(1).alias("one"))
+    varied = shown.groupBy("pattern", "i").agg(F.count("one").alias("d")).groupBy("pattern").agg(F.min("d").alias("d"))
+    return left.join(varied.filter(F.col("d") >= t.skip_types).select("pattern"), "pattern", "left_semi")
 
 
 @dataclass(frozen=True)
 class Mined:
-    """Tables of a mined model. ``skip_postings`` is None without skipgrams."""
+    """Tables of a mined model; those of skipgrams are None without them.
+
+    ``contents`` is ``pattern, inst, c``: skipgrams with the n-grams that fill them.
+    """
 
     patterns: DataFrame
     postings: DataFrame | None
     skip_postings: DataFrame | None
+    contents: DataFrame | None
 
 
 def mine(
@@ -187,34 +183,40 @@ def mine(
     """Mine a model: ``patterns(pattern, n, is_skip, cnt)`` and, if indexed, its postings.
 
     Holes are punched into every window whose n-1 parts are frequent, whether or not
-    the window is frequent itself. ``initial_only`` and ``final_only`` allow
-    skipgrams whose single gap stands at the start, or at the end.
+    the window is frequent itself; that makes every part and every filler frequent, and
+    only a higher threshold for fillers needs a look at them. ``initial_only`` and
+    ``final_only`` allow skipgrams whose single gap stands at the start, or at the end.
     """
     t = thresholds or Thresholds()
     levels = mine_levels(corpus, max_n, t.tokens)
     grams = union_levels(levels, corpus)
-    skips = None
-    if skipgrams:
-        for n in range(2, max_n + 1):
-            if len(levels) < n - 1:
-                break
-            rows = window_rows(corpus, n)
-            if n > 2:
-                rows = with_frequent_parts(rows, n, levels[n - 2][1], "broadcast" if levels[n - 2][2] <= BROADCAST_PATTERNS else None)
-            shorter = union_levels(levels[: n - 1], corpus)
-            cands = skip_candidates(rows, n, gap, initial_only, final_only)
-            cands = known_pieces(cands, shorter, gap, t.tokens, "parts")
-            filler = max(t.tokens, t.skip_tokens) if t.skip_tokens > 1 else t.tokens
-            cands = known_pieces(cands, shorter, gap, filler, "fillers")
-            kept = prune_skipgrams(cands, t, gap)
-            skips = kept if skips is None else skips.unionByName(kept)
     patterns = grams.select("pattern", "n", F.lit(False).alias("is_skip"), "cnt")
-    if skips is not None:
-        skips = skips.persist(StorageLevel.MEMORY_AND_DISK)
-        counts = skips.groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt"))
-        patterns = patterns.unionByName(counts.select("pattern", F.size("pattern").alias("n"), F.lit(True).alias("is_skip"), "cnt"))
     posts = postings(corpus, grams, max_n) if indexed else None
-    return Mined(patterns, posts, skips if indexed else None)
+    if not skipgrams:
+        return Mined(patterns, posts, None, None)
+    contents = skips = None
+    for n in range(2, max_n + 1):
+        if len(levels) < n - 1:
+            break
+        _, shorter, size = levels[n - 2]
+        rows = with_frequent_parts(window_rows(corpus, n), n, shorter, "broadcast" if size <= BROADCAST_PATTERNS else None)
+        found = skip_contents(rows, n, gap, initial_only, final_only)
+        if t.skip_tokens > t.tokens:
+            found = with_known_fillers(found, union_levels(levels[: n - 1], corpus), gap, t.skip_tokens)
+        kept = prune_skipgrams(found.persist(StorageLevel.MEMORY_AND_DISK), t, gap).persist(StorageLevel.MEMORY_AND_DISK)
+        contents = kept if contents is None else contents.unionByName(kept)
+        if indexed:
+            at = rows.withColumnRenamed("pattern", "inst").join(kept.select("pattern", "inst"), "inst")
+            at = at.select("pattern", P.skip_content("inst", "pattern", gap).alias("content"), "inst", "sid", "pos")
+            skips = at if skips is None else skips.unionByName(at)
+    if contents is None:
+        kind = dict(corpus.dtypes)["tokens"]
+        contents = corpus.sparkSession.createDataFrame([], f"pattern {kind}, inst {kind}, c bigint")
+        if indexed:
+            skips = corpus.sparkSession.createDataFrame([], f"pattern {kind}, content {kind}, inst {kind}, sid bigint, pos int")
+    counts = contents.groupBy("pattern").agg(F.sum("c").alias("cnt"))
+    patterns = patterns.unionByName(counts.select("pattern", F.size("pattern").alias("n"), F.lit(True).alias("is_skip"), "cnt"))
+    return Mined(patterns, posts, skips, contents)
 
 
 def mine_constrained(corpus: DataFrame, reference: DataFrame, max_n: int, least: int = 1, gap=P.GAP) -> DataFrame:
@@ -258,12 +260,12 @@ def find_patterns(corpus: DataFrame, model: DataFrame, min_n: int = 1, max_n: in
     return out
 
 
-def skip_entropy(skip_postings: DataFrame) -> DataFrame:
-    """``pattern, cnt, skip_types, entropy`` (bits) of the contents of each skipgram."""
-    per = skip_postings.groupBy("pattern", "content").agg(F.count(F.lit(1)).alias("c"))
-    p = F.col("c") / F.sum("c").over(Window.partitionBy("pattern"))
-    shares = per.withColumn("p", p)
-    return shares.groupBy("pattern").agg(F.sum("c").alias("cnt"), F.count(F.lit(1)).alias("skip_types"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+def skip_entropy(contents: DataFrame) -> DataFrame:
+    """``pattern, cnt, skip_types, entropy`` (bits) of skipgrams from their contents (``pattern, inst, c``)."""
+    sums = contents.groupBy("pattern").agg(F.sum("c").alias("cnt"), F.count(F.lit(1)).alias("skip_types"))
+    shares = contents.join(sums.select("pattern", "cnt"), "pattern").withColumn("p", F.col("c") / F.col("cnt"))
+    entropy = shares.groupBy("pattern").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    return sums.join(entropy, "pattern")
 
 
 def prune_by_alignment(patterns: DataFrame, align: DataFrame, least: float) -> DataFrame:

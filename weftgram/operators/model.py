@@ -19,14 +19,14 @@ class PatternModel:
     contained. Iteration streams the patterns, a partition at a time.
     """
 
-    def __init__(self, patterns: DataFrame, postings: DataFrame | None = None, skip_postings: DataFrame | None = None, tokens: int = 0, gap=P.GAP):
-        self.patterns, self.postings, self.skip_postings, self.tokens, self.gap = patterns, postings, skip_postings, tokens, gap
+    def __init__(self, patterns: DataFrame, postings: DataFrame | None = None, skip_postings: DataFrame | None = None, tokens: int = 0, gap=P.GAP, contents: DataFrame | None = None):
+        self.patterns, self.postings, self.skip_postings, self.tokens, self.gap, self.contents = patterns, postings, skip_postings, tokens, gap, contents
 
     @classmethod
     def train(cls, corpus: DataFrame, gap=P.GAP, **options) -> PatternModel:
         mined = mining.mine(corpus, gap=gap, **options)
         tokens = reports.corpus_tokens(corpus).first()["tokens"]
-        return cls(mined.patterns, mined.postings, mined.skip_postings, tokens, gap)
+        return cls(mined.patterns, mined.postings, mined.skip_postings, tokens, gap, mined.contents)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokens: int = 0, indexed: bool = True, gap=P.GAP) -> PatternModel:
@@ -78,7 +78,7 @@ class PatternModel:
 
     def listing(self) -> DataFrame:
         tokens = self.patterns.sparkSession.createDataFrame([(self.tokens,)], "tokens bigint")
-        entropy = mining.skip_entropy(self.skip_postings) if self.skip_postings is not None else None
+        entropy = mining.skip_entropy(self.contents) if self.contents is not None else None
         return reports.listing(self.patterns, tokens, entropy)
 
     def query(self, corpus: DataFrame, max_n: int = 9) -> DataFrame:

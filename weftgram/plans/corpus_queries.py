@@ -117,7 +117,7 @@ def coverage_by_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mined(spark: SparkSession, sf: str) -> mining.Mined:
-    return mining.mine(sentences(spark, sf), 3, mining.Thresholds(10, 2, 2), skipgrams=True, gap=GAP)
+    return mining.mine(sentences(spark, sf), 3, mining.Thresholds(10, 2, 2), skipgrams=True, indexed=False, gap=GAP)
 
 
 def skipgram_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,13 +125,13 @@ def skipgram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skipgram_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mining.skip_entropy(_mined(spark, sf).skip_postings)
+    rows = mining.skip_entropy(_mined(spark, sf).contents)
     return rows.select(text().alias("text"), "cnt", "skip_types", F.round("entropy", 6).alias("entropy"))
 
 
 def skipgram_content(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _mined(spark, sf).skip_postings.groupBy("pattern", "content").agg(F.count(F.lit(1)).alias("cnt"))
-    return rows.select(text().alias("text"), text("content").alias("content"), "cnt")
+    rows = _mined(spark, sf).contents.withColumn("content", P.skip_content("inst", "pattern", GAP))
+    return rows.select(text().alias("text"), text("content").alias("content"), F.col("c").alias("cnt"))
 
 
 def context_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _counted(name: str, grams: str, least: int) -> str:
 _MODEL = f"{SENT}, {_grams('g', 3)}, {_counted('m', 'g', 2)}, total AS (SELECT sum(len(toks)) AS tokens FROM s)"
 _PROSE = f"""{SENT}, {_grams('g', 3, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 3, "kind = 'note'")},
   found AS (SELECT t.sid, t.pos, t.n, t.text, m.cnt FROM t JOIN m ON t.text = m.text AND t.n = m.n),
-  span AS (SELECT sid, n, text, unnest(range(pos, pos + n)) AS at FROM found), tt AS (SELECT sum(len(toks)) AS tokens FROM s WHERE kind = 'note')"""
+  span AS (SELECT sid, n, text, unnest(range(pos, pos + n)) AS tk FROM found), tt AS (SELECT sum(len(toks)) AS tokens FROM s WHERE kind = 'note')"""
 
 _SKIP = f"""{SENT}, {_grams('g', 2)}, {_counted('known', 'g', 10)},
   w2 AS (SELECT sid, pos, toks[pos + 1:pos + 2] AS inst, 2 AS n FROM (SELECT sid, toks, unnest(range(0, len(toks) - 1)) AS pos FROM s)),
@@ -219,9 +219,9 @@ ORACLE = {
     "constrained_counts": f"WITH {_PROSE} SELECT text, n, count(*) AS cnt FROM found GROUP BY text, n",
     "joint_listing": f"""WITH {SENT}, {_grams('g', 2, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 2, "kind = 'note'")}, {_counted('o', 't', 1)}
       SELECT m.text, m.n, m.cnt AS cnt_train, coalesce(o.cnt, 0) AS cnt_test FROM m LEFT JOIN o ON m.text = o.text AND m.n = o.n""",
-    "coverage_report": f"""WITH {_PROSE}, c AS (SELECT count(DISTINCT (sid, at)) AS covered FROM span) SELECT CAST(tokens AS BIGINT) AS tokens, covered, CAST(0 AS BIGINT) AS encapsulated,
+    "coverage_report": f"""WITH {_PROSE}, c AS (SELECT count(DISTINCT (sid, tk)) AS covered FROM span) SELECT CAST(tokens AS BIGINT) AS tokens, covered, CAST(0 AS BIGINT) AS encapsulated,
       CAST(tokens - covered AS BIGINT) AS uncovered, CAST(tokens - covered AS BIGINT) AS outside FROM c, tt""",
-    "coverage_by_length": f"""WITH {_PROSE}, f AS (SELECT n, count(DISTINCT text) AS types, count(*) AS occurrences FROM found GROUP BY n), c AS (SELECT n, count(DISTINCT (sid, at)) AS covered FROM span GROUP BY n)
+    "coverage_by_length": f"""WITH {_PROSE}, f AS (SELECT n, count(DISTINCT text) AS types, count(*) AS occurrences FROM found GROUP BY n), c AS (SELECT n, count(DISTINCT (sid, tk)) AS covered FROM span GROUP BY n)
       SELECT n, types, occurrences, covered, round(covered / tokens, 10) AS coverage, round(types / covered, 10) AS ttr FROM f JOIN c USING (n), tt""",
     "skipgram_counts": f"""WITH {_SKIP} SELECT text, regexp_replace(replace(text, '{{*}} {{*}}', '{{*2*}}'), '\\{{\\*\\}}', '{{*1*}}') AS shown, n, CAST(sum(c) AS BIGINT) AS cnt FROM kept GROUP BY text, n""",
     "skipgram_entropy": f"""WITH {_SKIP}, p AS (SELECT text, c, c / sum(c) OVER (PARTITION BY text) AS p FROM kept)
