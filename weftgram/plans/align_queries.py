@@ -96,7 +96,7 @@ def align_graphweight(spark: SparkSession, sf: str) -> DataFrame:
     scored = align.train_cooc(grams["source"], grams["target"], 0.01)
     parents = [graph.subsumption(graph.pattern_counts(grams[n], "{*}"), "{*}") for n in ("source", "target")]
     rows = align.graph_weights(scored, *parents)
-    return rows.select(text("src"), text("tgt"), F.round("score", 8).alias("score"), "w", F.round("weighted", 8).alias("weighted"))
+    return rows.select(text("src"), text("tgt"), F.round("score", 8).alias("score"), "w", F.round(F.log("weighted"), 6).alias("ln_weighted"))
 
 
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +125,7 @@ def phrasetable_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 def phrasetable_simplify(spark: SparkSession, sf: str) -> DataFrame:
     rows = pt.simplify(pt.distinct_pairs(_pt(spark, sf, "a").filter("NOT exists(coalesce(sc, array()), x -> isnan(x))")))
-    return rows.select("s", "t", F.size("sc").alias("n_scores"), F.round(F.get("sc", F.lit(1)), 9).alias("second"))
+    return rows.select("s", "t", F.coalesce(F.size("sc"), F.lit(0)).alias("n_scores"), F.round(F.get("sc", F.lit(1)), 9).alias("second"))
 
 
 def phrasetable_intersect(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,10 +341,28 @@ ORACLE = {
     "align_stats": f"WITH {_COOC} SELECT count(DISTINCT src) AS sources, count(*) AS pairs, round(count(*) / count(DISTINCT src), 8) AS average FROM f",
     "align_em_r3": _em(3, False),
     "align_em_null": _em(2, True),
+    "align_graphweight": f"""WITH {_R}, sg AS (SELECT sid, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS p FROM sw),
+      tg AS (SELECT sid, unnest(list_concat(wt, list_transform(range(1, len(wt)), lambda i: wt[i] || ' ' || wt[i + 1]))) AS p FROM sw),
+      so2 AS (SELECT * FROM sg WHERE p IN (SELECT p FROM sg GROUP BY p HAVING count(*) >= 5)), ta2 AS (SELECT * FROM tg WHERE p IN (SELECT p FROM tg GROUP BY p HAVING count(*) >= 5)),
+      {_SIDES.replace("FROM so ", "FROM so2 ").replace("FROM ta ", "FROM ta2 ")}, k AS (SELECT src, tgt, score FROM j WHERE score >= 0.01), f AS (SELECT src, tgt, score / sum(score) OVER (PARTITION BY src) AS score FROM k),
+      us AS (SELECT DISTINCT p FROM so2), ut AS (SELECT DISTINCT p FROM ta2),
+      ps AS (SELECT DISTINCT c.p AS child, q.p AS parent FROM us q, us c WHERE q.p LIKE '% %' AND (c.p = split_part(q.p, ' ', 1) OR c.p = split_part(q.p, ' ', 2))),
+      pt AS (SELECT DISTINCT c.p AS child, q.p AS parent FROM ut q, ut c WHERE q.p LIKE '% %' AND (c.p = split_part(q.p, ' ', 1) OR c.p = split_part(q.p, ' ', 2))),
+      x AS (SELECT f.src AS s, f.tgt AS t, ps.parent AS ps, pt.parent AS pt, b.src IS NOT NULL AS b, o.src IS NOT NULL AS o, w.src IS NOT NULL AS w FROM f JOIN ps ON ps.child = f.src JOIN pt ON pt.child = f.tgt
+        LEFT JOIN f b ON b.src = ps.parent AND b.tgt = pt.parent LEFT JOIN f o ON o.src = ps.parent AND o.tgt = f.tgt LEFT JOIN f w ON w.src = f.src AND w.tgt = pt.parent),
+      g AS (SELECT s, t, 1.0 AS w FROM x WHERE b UNION ALL SELECT ps, pt, 1.0 FROM x WHERE b UNION ALL SELECT s, t, -0.5 FROM x WHERE NOT b AND o UNION ALL SELECT ps, t, -0.5 FROM x WHERE NOT b AND o
+        UNION ALL SELECT s, t, -0.5 FROM x WHERE NOT b AND w UNION ALL SELECT s, pt, -0.5 FROM x WHERE NOT b AND w), gw AS (SELECT s, t, CAST(sum(w) AS DOUBLE) AS w FROM g GROUP BY s, t)
+      SELECT src, tgt, round(score, 8) AS score, coalesce(gw.w, 0) AS w, round(CASE WHEN gw.w > 0 THEN 1 - gw.w WHEN gw.w < 0 THEN gw.w + 1 ELSE 1 END * ln(score), 6) AS ln_weighted FROM f LEFT JOIN gw ON gw.s = src AND gw.t = tgt""",
+    "keywords": f"""WITH {_J}, al AS (SELECT src, tgt FROM j WHERE score >= 0.002), n AS (SELECT src, count(*) AS n_targets FROM al GROUP BY src HAVING count(*) > 1),
+      hs AS (SELECT DISTINCT p, sid FROM so), ht AS (SELECT DISTINCT p, sid FROM ta), bo AS (SELECT al.src, al.tgt, hs.sid, n_targets FROM al JOIN n USING (src) JOIN hs ON hs.p = al.src JOIN ht ON ht.p = al.tgt AND ht.sid = hs.sid),
+      kw AS (SELECT hs.p AS kw, hs.sid, st.n AS nc FROM hs JOIN st ON st.p = hs.p WHERE st.n >= 3),
+      c AS (SELECT src, tgt, kw, count(*) AS n, any_value(nc) AS nc, any_value(n_targets) AS nt FROM bo JOIN kw USING (sid) WHERE src <> kw GROUP BY src, tgt, kw),
+      l AS (SELECT *, sum(n) OVER (PARTITION BY src, kw) AS loc, count(*) OVER (PARTITION BY src, kw) AS wi FROM c)
+      SELECT src, tgt, kw, round(n / loc / nc, 8) AS p FROM l WHERE wi < nt AND loc >= 2""",
     "phrasetable_flatten": r"""WITH d AS (SELECT trim(source, E' \t') AS s, trim(target, E' \t') AS t FROM phrasepairs WHERE source IS NOT NULL AND target IS NOT NULL),
       c AS (SELECT s, t, count(*) AS rows FROM d GROUP BY s, t) SELECT s, t, rows, round(1.0::DOUBLE / sum(rows) OVER (PARTITION BY s), 9) AS p_ts, round(1.0::DOUBLE / sum(rows) OVER (PARTITION BY t), 9) AS p_st FROM c""",
     "phrasetable_prune": f"WITH {_A} SELECT s, t, cnt FROM a WHERE s IN (SELECT word FROM vocab) AND t IN (SELECT word FROM vocab)",
-    "phrasetable_simplify": f"""WITH {_A}, {_CLEAN} SELECT s, t, CAST(CASE WHEN len(sc) = 5 THEN 2 ELSE len(sc) END AS INT) AS n_scores, round(CASE WHEN len(sc) = 5 THEN sc[3] ELSE sc[2] END, 9) AS second FROM c""",
+    "phrasetable_simplify": f"""WITH {_A}, {_CLEAN} SELECT s, t, CAST(coalesce(CASE WHEN len(sc) = 5 THEN 2 ELSE len(sc) END, 0) AS INT) AS n_scores, round(CASE WHEN len(sc) = 5 THEN sc[3] ELSE sc[2] END, 9) AS second FROM c""",
     "phrasetable_intersect": f"""WITH {_A}, {_B}, {_CLEAN} SELECT s, t, round(sc[1], 9) AS first, round(CASE WHEN len(sc) = 5 THEN sc[3] ELSE sc[2] END, 9) AS second FROM c WHERE (s, t) IN (SELECT (s, t) FROM b)""",
     "phrasetable_overlap": f"WITH {_A}, {_B} "
     + " UNION ALL ".join(
@@ -359,6 +377,17 @@ ORACLE = {
     "wa_intersection": f"WITH {_A}, {_B}, {_wa('a')}, {_wa('b')} SELECT * FROM pa INTERSECT SELECT * FROM pb",
     "lexical_table": f"WITH {_LEX} SELECT s_word, t_word, n, round(n / sum(n) OVER (PARTITION BY s_word), 7) AS w_ts, round(n / sum(n) OVER (PARTITION BY t_word), 7) AS w_st FROM n",
     "extract_phrases": f"WITH {_SPANS} SELECT array_to_string(ws[b + 1:e + 1], ' ') AS src, array_to_string(wt[tb + 1:te + 1], ' ') AS tgt, count(*) AS c FROM fin GROUP BY ALL",
+    "extract_supported": f"""WITH {_A}, {_B}, {_wa('a')}, {_wa('b')}, {_SENT}, un AS (SELECT * FROM pa UNION SELECT * FROM pb),
+      g1 AS (SELECT sid, unnest(range(0, len(ws))) AS pos, ws, 1 AS n FROM z UNION ALL SELECT sid, unnest(range(0, len(ws) - 1)), ws, 2 FROM z), so AS (SELECT sid, pos, n, array_to_string(ws[pos + 1:pos + n], ' ') AS p FROM g1),
+      g2 AS (SELECT sid, unnest(range(0, len(wt))) AS pos, wt, 1 AS n FROM z UNION ALL SELECT sid, unnest(range(0, len(wt) - 1)), wt, 2 FROM z), t0 AS (SELECT sid, pos, n, array_to_string(wt[pos + 1:pos + n], ' ') AS p FROM g2),
+      fs AS (SELECT * FROM so WHERE p IN (SELECT p FROM so GROUP BY p HAVING count(*) >= 3)), ft AS (SELECT * FROM t0 WHERE p IN (SELECT p FROM t0 GROUP BY p HAVING count(*) >= 3)),
+      q AS (SELECT s.sid, s.pos AS sp, s.n AS sn, s.p AS src, t.pos AS tp, t.n AS tn, t.p AS tgt FROM fs s JOIN ft t ON s.sid = t.sid),
+      r AS (SELECT q.*, count(*) FILTER (ins AND intt) AS c, count(*) FILTER (ins <> intt) AS bad, bool_or(ins AND s = sp) AS a1, bool_or(ins AND s = sp + sn - 1) AS a2, bool_or(intt AND t = tp) AS b1, bool_or(intt AND t = tp + tn - 1) AS b2
+        FROM (SELECT q.*, s, t, s BETWEEN sp AND sp + sn - 1 AS ins, t BETWEEN tp AND tp + tn - 1 AS intt FROM q JOIN pa ON pa.sid = q.sid) q GROUP BY ALL),
+      ok AS (SELECT r.sid, sp, sn, src, tp, tn, tgt, sum(c) AS c FROM (SELECT sid, sp, sn, src, tp, tn, tgt, sum(c) AS c, sum(bad) AS bad, bool_or(a1) AS a1, bool_or(a2) AS a2, bool_or(b1) AS b1, bool_or(b2) AS b2 FROM r GROUP BY ALL) r WHERE bad = 0 AND a1 AND a2 AND b1 AND b2 GROUP BY ALL),
+      w AS (SELECT ok.*, (SELECT count(*) FROM un WHERE un.sid = ok.sid AND un.s BETWEEN sp AND sp + sn - 1 AND un.t BETWEEN tp AND tp + tn - 1) - c AS extra FROM ok)
+      SELECT sid, sp AS s_pos, src, tp AS t_pos, tgt, round(least(1.0::DOUBLE, least(1.0::DOUBLE, c / greatest(sn, tn)) + greatest(extra, 0) / (4 * greatest(sn, tn))), 8) AS score FROM w
+      WHERE least(1.0::DOUBLE, least(1.0::DOUBLE, c / greatest(sn, tn)) + greatest(extra, 0) / (4 * greatest(sn, tn))) >= 0.5""",
     "lm_entries": f"WITH {_LMS} SELECT g AS ngram, n, round(lp, 6) AS lp, round(bo, 6) AS bo FROM model",
     "lm_backoff_score": f"""WITH {_R}, {_LMS}, u AS (SELECT sid, list_concat(ws, ['</s>']) AS v FROM sw WHERE len(ws) > 0), pad AS (SELECT sid, list_concat(['<s>'], v) AS h, v, unnest(range(1, len(v) + 1)) AS i FROM u),
       q AS (SELECT sid, i, CASE WHEN v[i] IN (SELECT g FROM uni) THEN v[i] ELSE '<unk>' END AS w, h[i] AS h1, CASE WHEN i >= 2 THEN h[i - 1] END AS h2 FROM pad),
