@@ -36,9 +36,9 @@ READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250
 #: Pairs (read as, written in) of single-byte code pages.
 SWAPS = [("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("iso8859-5", "cp1251"), ("cp1252", "cp1250"), ("latin-1", "iso8859-2"), ("latin-1", "cp1250"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "latin-1"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("latin-1", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1253", "cp1252")]
 #: Gain from which a word counts as restored by steps through UTF-8, and by a swap on its own.
-GAIN_UTF8, GAIN_SWAP = 1.1, 2.6
+GAIN_UTF8, GAIN_SWAP = 0.4, 2.6
 #: Gain from which a doubtful word follows the proven steps of its text.
-GAIN_WEAK = 0.4
+GAIN_WEAK = 0.2
 #: Gain over the different words of a line from which they agree on a swap.
 GAIN_LINE = 3.0
 #: States taken from the queue, steps from the start, and remembered words of a worker.
@@ -211,12 +211,16 @@ def _swapped(text: str, read_as: str, written_in: str) -> str | None:
 def _may_swap(word: str) -> bool:
     """Whether a change of code page is worth trying.
 
-    It needs three letters beyond ASCII in a row, or letters of two scripts; single
-    signs such as those of units or tables say nothing about a code page.
+    It needs three letters beyond ASCII in a row, letters of two scripts, or a capital
+    beyond ASCII after a small letter; single signs such as those of units or tables say
+    nothing about a code page.
     """
-    run, scripts = 0, set()
+    run, scripts, small = 0, set(), False
     for c in word:
-        kind, script, _, _ = _char(c)
+        kind, script, _, upper = _char(c)
+        if upper and small and c >= "\x80":
+            return True
+        small = kind == _Kind.LETTER and not upper
         if kind == _Kind.LETTER:
             scripts.add(script)
         run = run + 1 if kind == _Kind.LETTER and c >= "\x80" else 0
