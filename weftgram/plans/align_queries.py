@@ -13,7 +13,7 @@ from weftgram.operators import align, classify, decode, graph, lm, mining, worda
 from weftgram.operators import phrasetables as pt
 from weftgram.operators.hotkeys import one_blank
 from weftgram.plans import pipeline
-from weftgram.runtime import table
+from weftgram.runtime import spread, table
 from weftgram.sources import corpus as C
 from weftgram.sources import tables
 
@@ -147,7 +147,7 @@ def phrasetable_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct pairs of copy a as sentences, and the pairs themselves (``sid, s, t, wa``)."""
-    rows = _pt(spark, sf, "a").groupBy("s", "t").agg(F.max("wa").alias("wa"))
+    rows = spread(_pt(spark, sf, "a")).groupBy("s", "t").agg(F.max("wa").alias("wa"))
     rows = rows.withColumn("sid", F.conv(F.substring(F.md5(F.concat_ws("|", "s", "t")), 1, 15), 16, 10).cast("bigint"))
     return rows.select("sid", C.split_words(F.col("s")).alias("tokens")), rows.select("sid", C.split_words(F.col("t")).alias("tokens")), rows
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
 from weftgram.operators import mining, reports
-from weftgram.runtime import table
+from weftgram.runtime import spread, table
 from weftgram.sources import corpus as C
 
 GAP = P.WORD_GAP
 
 
 def sentences(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
-    return C.sentences_of_documents(table(spark, sf, "documents").filter(where))
+    return C.sentences_of_documents(spread(table(spark, sf, "documents").filter(where).select("doc_id", "text")))
 
 
 def text(p: str = "pattern") -> F.Column:
