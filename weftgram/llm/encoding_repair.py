@@ -211,13 +211,20 @@ def _swapped(text: str, read_as: str, written_in: str) -> str | None:
 def _may_swap(word: str) -> bool:
     """Whether a change of code page is worth trying.
 
-    It needs three letters beyond ASCII in a row, letters of two scripts, or a capital
-    beyond ASCII after a small letter; single signs such as those of units or tables say
-    nothing about a code page.
+    It needs three letters beyond ASCII in a row, letters of two scripts, a capital
+    beyond ASCII after a small letter, or a sign between letters; single signs such as
+    those of units or tables say nothing about a code page.
     """
-    run, scripts, small = 0, set(), False
+    run, scripts, small, before, signs = 0, set(), False, False, False
     for c in word:
         kind, script, _, upper = _char(c)
+        if kind == _Kind.LETTER:
+            if signs:
+                return True
+            before = True
+        else:
+            signs = before and (kind == _Kind.SYMBOL or (signs and kind == _Kind.QUOTE))
+            before = before and signs
         if upper and small and c >= "\x80":
             return True
         small = kind == _Kind.LETTER and not upper
