@@ -235,13 +235,15 @@ def information_gain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The label distribution of the nearest records for each distinct source of copy a."""
+    """The likeliest label of each different source of copy a by its nearest records."""
     corpus, _, _ = _sided(spark, sf)
     w = F.col("tokens")
     queries = corpus.filter("size(tokens) > 0").select(F.col("sid").alias("qid"), F.lit("all").alias("model_id"), F.array(F.get(w, F.lit(0)), F.get(w, F.size(w) - 1), F.size(w).cast("string")).alias("features"))
     # equal queries are asked once
     asked = queries.groupBy("model_id", "features").agg(F.min("qid").alias("qid"))
-    return classify.nearest(_instances(spark, sf), asked).select("qid", "label", F.round("p", 6).alias("p"))
+    found = classify.nearest(_instances(spark, sf), asked).select("qid", "label", F.round("p", 9).alias("p"))
+    best = found.groupBy("qid").agg(F.max(F.struct("p", "label")).alias("b"))
+    return best.select("qid", "b.label", F.round("b.p", 6).alias("p"))
 
 
 def rescore_weighed(spark: SparkSession, sf: str) -> DataFrame:
