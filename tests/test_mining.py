@@ -192,6 +192,17 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("to  be\t\r\n\nor not\n", encoding="utf-8")
     got = sorted((r["sid"], tuple(r["tokens"])) for r in C.read_text(spark, str(tmp_path / "a.txt")).collect())
     assert got == [(1, ("to", "be")), (3, ("or", "not"))]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        (tmp_path / "long.txt").write_text("".join(f"w{i} x\n" for i in range(400)), encoding="utf-8")
+        (tmp_path / "more.txt").write_text("y\nz\n", encoding="utf-8")
+        lines = C.numbered_lines(spark, [str(tmp_path / "long.txt"), str(tmp_path / "more.txt")])
+        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        got = {(r["file"][-8:], r["line_id"]): r["line"] for r in lines.collect()}
+        assert got == {("long.txt", i + 1): f"w{i} x" for i in range(400)} | {("more.txt", 1): "y", ("more.txt", 2): "z"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     (tmp_path / "b.xml").write_text('<FoLiA><text><s xml:id="s1"><w><t>to</t></w><w><t>be</t></w></s></text></FoLiA>', encoding="utf-8")
     assert C.read_corpus(spark, str(tmp_path / "b.xml")).first()["tokens"] == ["to", "be"]
     parts = C.hash_split(spark.range(100).withColumnRenamed("id", "sid"), {"train": 8, "test": 2}).groupBy("part").count().collect()

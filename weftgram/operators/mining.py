@@ -16,12 +16,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
 from weftgram.functions.gaps import gap_masks
+from weftgram.runtime import cut_lineage
 
 #: Frequent patterns of one level that are sent to every task, at most.
 BROADCAST_PATTERNS = 500_000
@@ -59,8 +59,8 @@ def with_frequent_parts(rows: DataFrame, n: int, shorter: DataFrame, how: str |
 def mine_ngrams(corpus: DataFrame, max_n: int, least: int = 2, min_n: int = 1) -> DataFrame:
     """``pattern, n, cnt`` of the n-grams that occur at least ``least`` times.
 
-    Stops at the first length without any. Levels are kept only as patterns, so
-    nothing of the size of the corpus is held.
+    Stops at the first length without any. Levels are checkpointed as patterns, so
+    plans stay short and nothing of the size of the corpus is held.
     """
     return union_levels([lv for lv in mine_levels(corpus, max_n, least) if lv[0] >= min_n], corpus)
 
@@ -72,7 +72,7 @@ def mine_levels(corpus: DataFrame, max_n: int, least: int) -> list[tuple[int, Da
         rows = window_rows(corpus, n)
         if n > 1 and levels[-1][2] <= BROADCAST_PATTERNS:
             rows = with_frequent_parts(rows, n, levels[-1][1], "broadcast")
-        level = counted(rows, least).persist(StorageLevel.MEMORY_AND_DISK)
+        level = cut_lineage(counted(rows, least))
         size = level.count()
         if size == 0:
             break
@@ -155,8 +155,7 @@ def prune_skipgrams(contents: DataFrame, t: Thresholds, gap) -> DataFrame:
         kept = sums.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types)).select("pattern")
         return rows.join(kept, "pattern", "left_semi")
 
-    left = enough(contents).filter(F.col("c") >= t.skip_tokens).persist(StorageLevel.MEMORY_AND_DISK)
-    left = enough(left).persist(StorageLevel.MEMORY_AND_DISK)
+    left = cut_lineage(enough(enough(contents).filter(F.col("c") >= t.skip_tokens)))
     token = left.select("pattern", F.posexplode(F.arrays_zip(F.col("inst").alias("x"), F.col("pattern").alias("y"))).alias("i", "z"))
     shown = token.filter(F.col("z.y") == F.lit(gap)).groupBy("pattern", "i", "z.x").agg(F.lit(1).alias("one"))
     varied = shown.groupBy("pattern", "i").agg(F.count("one").alias("d")).groupBy("pattern").agg(F.min("d").alias("d"))
@@ -203,7 +202,7 @@ def mine(
         found = skip_contents(rows, n, gap, initial_only, final_only)
         if t.skip_tokens > t.tokens:
             found = with_known_fillers(found, union_levels(levels[: n - 1], corpus), gap, t.skip_tokens)
-        kept = prune_skipgrams(found.persist(StorageLevel.MEMORY_AND_DISK), t, gap).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = cut_lineage(prune_skipgrams(cut_lineage(found), t, gap))
         contents = kept if contents is None else contents.unionByName(kept)
         if indexed:
             at = rows.withColumnRenamed("pattern", "inst").join(kept.select("pattern", "inst"), "inst")

@@ -30,15 +30,26 @@ def sentences_of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return rows.filter(F.size("tokens").between(1, MAX_TOKENS))
 
 
-def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Plain text files (also .gz, .bz2), one sentence per line.
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, line_id, line`` of text files (also .gz, .bz2), lines numbered from 1 in file order.
 
-    Lines are numbered from 1 in file order. Each file is read whole by one task,
-    which is what keeps its order; a compressed file cannot be split anyway.
+    Files are split as usual. Rows of a split come in order, so a line's number is the
+    number of lines in the file's earlier splits, a running sum over one row per
+    split, plus its place in its own.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return lines.select("file", (F.col("i") + 1).cast("bigint").alias("sid"), split_words(F.col("line")).alias("tokens")).filter(F.size("tokens").between(1, MAX_TOKENS))
+    rows = spark.read.text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
+    )
+    blocks = rows.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "block", "first", before.alias("before"))
+    return rows.join(offsets, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("before") + 1).alias("line_id"), "line")
+
+
+def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, sid, tokens`` of plain text, one sentence per line."""
+    lines = numbered_lines(spark, paths)
+    return lines.select("file", F.col("line_id").alias("sid"), split_words(F.col("line")).alias("tokens")).filter(F.size("tokens").between(1, MAX_TOKENS))
 
 
 def read_folia(spark: SparkSession, paths: str | list[str]) -> DataFrame:
