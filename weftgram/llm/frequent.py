@@ -12,6 +12,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ def frequent_values(
     numbered = F.explode(F.array(*(F.lit(h * buckets) + _bucket(value, h, buckets) for h in range(hashes))))
     coarse = refs.select(numbered.alias("b")).groupBy("b").count().collect()  # at most hashes * buckets rows
     total = sum(r["count"] for r in coarse) // hashes
-    least = share * total
+    # the share as a fraction, so that a count just at the threshold is kept
+    part = Fraction(str(share))
+    least = -(-total * part.numerator // part.denominator)
     heavy = [[r["b"] - h * buckets for r in coarse if r["b"] // buckets == h and r["count"] >= least] for h in range(hashes)]
     survivors = rows
     for h in range(hashes):
