@@ -342,3 +342,21 @@ def test_dot(spark):
     assert tables.dot_lines(edges, nodes).count() == 6
     focus = [r["line"] for r in tables.dot_lines(edges, nodes, spark.createDataFrame([("a",)], "pattern string")).collect()]
     assert len(focus) == 3 and any('\\"b\\"' in x for x in focus)
+
+
+def test_matrix(spark):
+    source = spark.createDataFrame([(1, ["a", "<b"])], "sid bigint, tokens array<string>")
+    target = spark.createDataFrame([(1, ["x"])], "sid bigint, tokens array<string>")
+    html = wordalign.matrix_html(points(spark, [(1, 0)]), source, target).first()["html"]
+    assert html == "<table><tr><td></td><th>a</th><th>&lt;b</th></tr><tr><th>x</th><td></td><td>x</td></tr></table>"
+    assert wordalign.matrix_html(points(spark, [(1, 0)]), source, target, start=2).count() == 0
+
+
+def test_contexts(spark):
+    rows = [("f", "c1", "x", math.log(0.5), math.log(0.2)), ("f", "c2", "x", math.log(0.25), math.log(0.2)), ("f", "c1", "y", math.log(0.25), math.log(0.3)), ("g", "c1", "x", math.log(1.0), math.log(0.4))]
+    options = spark.createDataFrame(rows, "focus string, context string, tgt string, lp_ts double, lp_st double")
+    got = {(r["focus"], r["tgt"]): (r["p_ts"], r["p_st"]) for r in align.remove_context(options).collect()}
+    assert got == {("f", "x"): pytest.approx((0.75, 0.5)), ("f", "y"): pytest.approx((0.25, 1.0)), ("g", "x"): pytest.approx((1.0, 0.5))}
+    table = spark.createDataFrame([("a f b", "x", 1.0), ("f", "y", 0.5)], "src string, tgt string, score double")
+    asked = spark.createDataFrame([(1, "a f b", "f"), (2, "c f b", "f"), (3, "q", "q")], "qid int, in_context string, focus string")
+    assert sorted((r["qid"], r["tgt"]) for r in align.options_with_fallback(asked, table).collect()) == [(1, "x"), (2, "y")]

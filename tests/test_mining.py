@@ -249,3 +249,12 @@ def test_stream(spark, corpus, tmp_path):
     assert query_stream.local_classes(lines, {"a": 6, "b": 7}).first()["tokens"] == [6, -1, 7, -2, -1]
 
 
+
+
+def test_compact_corpus(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, [6, 300, 70000]), (2, []), (3, [7])], "sid bigint, tokens array<int>")
+    data = {r["sid"]: bytes(r["data"]) for r in C.to_class_bytes(corpus).collect()}
+    assert data[1] == b"\x06\0\x2c\x01\0\x70\x11\x01\0\x01\0" and data[2] == b"\x01\0"
+    (tmp_path / "c.clsenc").write_bytes(data[1] + data[2] + data[3])
+    got = sorted((r["sid"], r["tokens"]) for r in C.read_class_encoded(spark, str(tmp_path / "c.clsenc")).collect())
+    assert got == [(1, [6, 300, 70000]), (3, [7])]

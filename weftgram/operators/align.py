@@ -203,6 +203,27 @@ def sum_contexts(options: DataFrame) -> DataFrame:
     return normalize(summed, "score", "focus")
 
 
+def remove_context(options: DataFrame) -> DataFrame:
+    """``focus, tgt, p_ts, p_st`` from ``focus, context, tgt, lp_ts, lp_st``.
+
+    The first score is summed over contexts and normalised per focus; the second is
+    summed and divided by its sum over all sources of the target.
+    """
+    summed = options.groupBy("focus", "tgt").agg(F.sum(F.exp("lp_ts")).alias("p_ts"), F.sum(F.exp("lp_st")).alias("p_st"))
+    return normalize(normalize(summed, "p_ts", "focus"), "p_st", "tgt")
+
+
+def options_with_fallback(asked: DataFrame, align: DataFrame) -> DataFrame:
+    """``qid, key, tgt, score``: options of the pattern in its context, else of the pattern alone.
+
+    ``asked`` is ``qid, in_context, focus``; ``align`` is ``src, tgt, score``.
+    """
+    table = align.select("src", "tgt", "score")
+    direct = asked.join(table, asked["in_context"] == table["src"]).select("qid", F.col("src").alias("key"), "tgt", "score")
+    rest = asked.join(direct.select("qid").distinct(), "qid", "left_anti")
+    return direct.unionByName(rest.join(table, F.col("focus") == F.col("src")).select("qid", F.col("src").alias("key"), "tgt", "score"))
+
+
 def keywords(align: DataFrame, source: DataFrame, target: DataFrame, corpus_counts: DataFrame, least_source: int = 1, least_keyword: int = 1, least_p: float = 0.0, bestn: int = 0) -> DataFrame:
     """``src, tgt, kw, p``: patterns that tell the targets of a source apart.
 

@@ -194,3 +194,20 @@ def pair_counts(pairs: DataFrame, weighted: bool = False, least: int = 0) -> Dat
     """``src, tgt, c`` of extracted pairs, counted or weighted by score."""
     c = F.sum("score") if weighted else F.count(F.lit(1)).cast("double")
     return pairs.groupBy("src", "tgt").agg(c.alias("c")).filter(F.col("c") >= least)
+
+
+def matrix_html(points: DataFrame, source: DataFrame, target: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """``sid, html``: a table per sentence pair, a mark in the cell of every point."""
+    pairs = source.select("sid", F.col("tokens").alias("st")).join(target.select("sid", F.col("tokens").alias("tt")), "sid")
+    if start is not None:
+        pairs = pairs.filter(F.col("sid") >= start)
+    if end is not None:
+        pairs = pairs.filter(F.col("sid") <= end)
+    held = clean(points).groupBy("sid").agg(F.collect_set(F.concat_ws("-", "s", "t")).alias("p"))
+    rows = pairs.join(held, "sid", "left").withColumn("p", F.coalesce("p", F.array().cast("array<string>")))
+    safe = lambda w: F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cell = lambda tag, text: F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))
+    head = F.concat(F.lit("<tr><td></td>"), F.array_join(F.transform("st", lambda w: cell("th", safe(w))), ""), F.lit("</tr>"))
+    mark = lambda s, t: F.when(F.array_contains("p", F.concat_ws("-", s.cast("string"), t.cast("string"))), "x").otherwise("")
+    line = lambda w, t: cell("tr", F.concat(cell("th", safe(w)), F.array_join(F.transform("st", lambda _, s: cell("td", mark(s, t))), "")))
+    return rows.select("sid", F.concat(F.lit("<table>"), head, F.array_join(F.transform("tt", line), ""), F.lit("</table>")).alias("html"))

@@ -6,10 +6,13 @@ than ``MAX_TOKENS`` keep their number and contribute nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgram.functions.patterns import BEGIN, END, FIRST_CLASS, UNKNOWN, WORD_GAP
+from weftgram.functions.patterns import BEGIN, END, FIRST_CLASS, UNKNOWN, WORD_GAP, class_bytes
 from weftgram.runtime import with_scalars
 
 MAX_TOKENS = 255
@@ -183,3 +186,35 @@ def hash_split(corpus: DataFrame, shares: dict[str, int], seed: int = 0) -> Data
     return corpus.withColumn("part", part)
 
 
+
+
+def to_class_bytes(corpus: DataFrame) -> DataFrame:
+    """``sid, data``: sentences in the compact form, a zero byte after each class and ``01 00`` at the end."""
+    stop = F.unhex(F.lit("00"))
+    joined = F.aggregate("tokens", F.unhex(F.lit("")), lambda acc, c: F.concat(acc, class_bytes(c), stop))
+    return corpus.select("sid", F.concat(joined, F.unhex(F.lit("0100"))).alias("data"))
+
+
+def read_class_encoded(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, sid, tokens`` of compact binary corpora; a file is read by one task.
+
+    Empty sentences keep their number and give no row.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, content in files.itertuples(index=False):
+                rows, tokens, sid = [], [], 1
+                for part in bytes(content).split(b"\0"):
+                    if part == b"\1":
+                        if tokens:
+                            rows.append((path, sid, tokens))
+                        tokens, sid = [], sid + 1
+                    elif part:
+                        tokens.append(int.from_bytes(part, "little"))
+                if tokens:
+                    rows.append((path, sid, tokens))
+                yield pd.DataFrame(rows, columns=["file", "sid", "tokens"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(parse, "file string, sid bigint, tokens array<int>")
