@@ -291,6 +291,20 @@ class Repairer:
                 self.memo[word] = found
         return found
 
+    def agreed(self, line: str, path: tuple[str, ...], gains: dict[str, float]) -> dict[str, str]:
+        """Repairs of a line if its words together gain enough by a swap that some of them ask for.
+
+        A single swap is weighed over every word of the line, those it makes worse
+        included.
+        """
+        if len(path) > 1:
+            return {w: self.word(w)[0] for w in gains} if sum(gains.values()) >= GAIN_LINE else {}
+        read_as, written_in = path[0].split(">")
+        after = {w: _swapped(w, read_as, written_in) for w in dict.fromkeys(_WORD.findall(line))}
+        after = {w: a for w, a in after.items() if a is not None and a != w}
+        total = sum(implausibility(w) - implausibility(a) for w, a in after.items())
+        return after if total >= GAIN_LINE else {}
+
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """The text restored, and whether it is a case."""
         if not text or text.isascii():
@@ -312,8 +326,8 @@ class Repairer:
                 if not through:
                     swaps.setdefault(path, {})[w] = gain
             for path, gains in swaps.items():
-                if sum(gains.values()) >= GAIN_LINE and max(map(len, gains)) >= 4:
-                    repairs |= {w: self.word(w)[0] for w in gains}
+                if max(map(len, gains)) >= 4:
+                    repairs |= self.agreed(line, path, gains)
         if repairs:
             # what is proven for the text decides its doubtful words too
             proven = {self.word(w)[2] for w in repairs}
