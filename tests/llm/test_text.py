@@ -132,6 +132,21 @@ def test_other_mistakes():
     assert r.text(None) == (None, False) and r.text("") == ("", False)
 
 
+SWAPPED = [("według języka pomiędzy ścieżkami", "cp1250", "cp1252"), ("według języka pomiędzy ścieżkami", "iso8859-2", "latin-1"), ("fünf Lücken gehören dazu", "cp1252", "cp850"), ("fünf Lücken gehören dazu", "cp1252", "mac_roman"), ("más después también según", "cp1252", "cp850")]
+
+
+@pytest.mark.parametrize("text,written_in,read_as", SWAPPED)
+def test_swap_by_the_words_of_a_line(text, written_in, read_as):
+    decode = er._PAGES[read_as][1]
+    garbled = "".join(c if c < "\x80" else decode[c.encode(written_in)[0]] for c in text)
+    assert er.Repairer().text(f"clean line\n{garbled}") == (f"clean line\n{text}", True)
+
+
+@pytest.mark.parametrize("text", ["m³ km² kg·m² 20 °C n° 5 ½ § 4", "mot¹ , autre² , note³ , 1ª 2º", "Łódź , Dvořák , Besançon , Škoda , Göteborg"])
+def test_signs_ask_for_no_swap(text):
+    assert er.Repairer().text(text) == (text, False)
+
+
 def test_repair_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (2, "café", "x"), (3, None, "x"), (1, "cafÃ©", "x")], "doc_id bigint, text string, garbled string")
     got = sorted((r["doc_id"], r["garbled"], r["restored"]) for r in er.repair(df).collect())

@@ -41,6 +41,8 @@ GAIN_UTF8, GAIN_SWAP = 0.4, 2.6
 GAIN_WEAK = 0.2
 #: Gain over the different words of a line from which they agree on a swap.
 GAIN_LINE = 3.0
+#: Evidence for a swap, over all words of a line beyond ASCII, from which the line is swapped.
+GAIN_EVIDENCE = 2.0
 #: States taken from the queue, steps from the start, and remembered words of a worker.
 MOST_STATES, MOST_STEPS, MEMO = 48, 4, 1 << 17
 
@@ -275,11 +277,37 @@ def search(word: str) -> tuple[str, float, tuple[str, ...]]:
     return best[1], start - best[0], best[2]
 
 
+def _spelled(c: str) -> bool:
+    return c.isalnum() if c < "\x80" else _char(c)[0] in (_Kind.LETTER, _Kind.MARK)
+
+
+def evidence(word: str) -> tuple[tuple[str, str, float, float], ...]:
+    """Every listed swap that changes a word: the swap, the word after it, its evidence and its gain.
+
+    Signs at the ends of a word, such as those of units, quotations and notes, can speak
+    against a swap but not for it; only among proven swaps does their gain count.
+    """
+    lo, hi = 0, len(word)
+    while lo < hi and not _spelled(word[lo]):
+        lo += 1
+    while lo < hi and not _spelled(word[hi - 1]):
+        hi -= 1
+    whole, inner = implausibility(word), implausibility(word[lo:hi])
+    out = []
+    for read_as, written_in in SWAPS:
+        after = _swapped(word, read_as, written_in)
+        if after is not None and after != word:
+            gain = whole - implausibility(after)
+            out.append((f"{read_as}>{written_in}", after, min(gain, inner - implausibility(after[lo:hi])), gain))
+    return tuple(out)
+
+
 class Repairer:
     """Repairs texts, remembering the searches of words."""
 
     def __init__(self):
         self.memo: dict[str, tuple[str, float, tuple[str, ...]]] = {}
+        self.swaps: dict[str, tuple[tuple[str, str, float, float], ...]] = {}
 
     def word(self, word: str) -> tuple[str, float, tuple[str, ...]]:
         found = self.memo.get(word)
@@ -291,6 +319,38 @@ class Repairer:
                 self.memo[word] = found
         return found
 
+    def evidence(self, word: str) -> tuple[tuple[str, str, float, float], ...]:
+        found = self.swaps.get(word)
+        if found is None:
+            found = evidence(word)
+            if len(self.swaps) >= MEMO // 4:
+                self.swaps.clear()
+            if len(word) <= 64:
+                self.swaps[word] = found
+        return found
+
+    def weighed(self, lines: list[str]) -> dict[str, str]:
+        """Repairs of lines whose words, save those misread as UTF-8, together speak for a swap."""
+        out: dict[str, str] = {}
+        for line in lines:
+            if line.isascii():
+                continue
+            total: dict[str, float] = {}
+            gained: dict[str, float] = {}
+            asking: dict[str, int] = {}
+            words = [w for w in dict.fromkeys(_WORD.findall(line)) if not any(s.endswith("utf-8") for s in self.word(w)[2])]
+            for w in words:
+                for swap, _, speaks, gain in self.evidence(w):
+                    total[swap] = total.get(swap, 0.0) + speaks
+                    gained[swap] = gained.get(swap, 0.0) + gain
+                    if speaks > 0:
+                        asking[swap] = max(asking.get(swap, 0), len(w))
+            proven = [swap for swap, n in asking.items() if n >= 4 and total[swap] >= GAIN_EVIDENCE]
+            if proven:
+                best = max(proven, key=gained.__getitem__)
+                out |= {w: after for w in words for swap, after, _, _ in self.evidence(w) if swap == best}
+        return out
+
     def agreed(self, line: str, path: tuple[str, ...], gains: dict[str, float]) -> dict[str, str]:
         """Repairs of a line if its words together gain enough by a swap that some of them ask for.
 
@@ -328,6 +388,7 @@ class Repairer:
             for path, gains in swaps.items():
                 if max(map(len, gains)) >= 4:
                     repairs |= self.agreed(line, path, gains)
+        repairs |= self.weighed(lines)
         if repairs:
             # what is proven for the text decides its doubtful words too
             proven = {self.word(w)[2] for w in repairs}
