@@ -142,11 +142,25 @@ def test_swap_by_the_words_of_a_line(text, written_in, read_as):
     assert er.Repairer().text(f"clean line\n{garbled}") == (f"clean line\n{text}", True)
 
 
-@pytest.mark.parametrize("text", ["m³ km² kg·m² 20 °C n° 5 ½ § 4", "mot¹ , autre² , note³ , 1ª 2º", "Łódź , Dvořák , Besançon , Škoda , Göteborg"])
+@pytest.mark.parametrize("text", ["m³ km² kg·m² 20 °C n° 5 ½ § 4", "mot¹ , autre² , note³ , 1ª 2º", "Łódź , Dvořák , Besançon , Škoda , Göteborg", "naţională ţară soluţie\ninformaţie raţiune", "mŕtvy stĺp vŕba kŕmiť", "među rođen đak građa\nviđen događaj tuđi mlađi"])
 def test_signs_ask_for_no_swap(text):
     assert er.Repairer().text(text) == (text, False)
 
 
+def _as_koi8(text):
+    return text.encode("koi8-r").decode("cp1251")
+
+
+def test_gain_adds_up_over_lines():
+    # entries of one word, each too weak alone
+    entries = ["словарь", "заседание", "модель"]
+    garbled = [_as_koi8(e) for e in entries]
+    assert er.Repairer().text("\n".join(garbled)) == ("\n".join(entries), True)
+    # a repeated entry is one sign, and clean lines of a mixed text stay
+    assert not er.Repairer().text("\n".join([garbled[2]] * 9))[1]
+    assert er.Repairer().text("\n".join(["чистый перевод", *garbled]))[0] == "\n".join(["чистый перевод", *entries])
+
+
 def test_repair_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (2, "café", "x"), (3, None, "x"), (1, "cafÃ©", "x")], "doc_id bigint, text string, garbled string")
     got = sorted((r["doc_id"], r["garbled"], r["restored"]) for r in er.repair(df).collect())

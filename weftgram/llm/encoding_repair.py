@@ -8,8 +8,8 @@ taken next. The cheapest string reached is the restored word. Words recur, so
 each worker keeps a bounded memo of searches.
 
 A document is a case if some word is restored at a clear gain, if the words of a
-line agree on a change of code page, or if it holds marks of a lossy decoding
-(U+FFFD, C1 controls) that no step explains. Lossy stretches stay as they are.
+line, or its lines together, agree on a change of code page, or if it holds marks of
+a lossy decoding (U+FFFD, C1 controls) that no step explains. Lossy stretches stay as they are.
 
 Edge cases: null, empty and plain ASCII texts are no cases and come back
 unchanged; repeated documents each get their row; texts are searched whole; an
@@ -41,7 +41,7 @@ GAIN_UTF8, GAIN_SWAP = 0.4, 2.6
 GAIN_WEAK = 0.2
 #: Gain over the different words of a line from which they agree on a swap.
 GAIN_LINE = 3.0
-#: Evidence for a swap, over all words of a line beyond ASCII, from which the line is swapped.
+#: Evidence for a swap, over all words beyond ASCII of a line or over its lines in a text, from which they are swapped.
 GAIN_EVIDENCE = 2.0
 #: States taken from the queue, steps from the start, and remembered words of a worker.
 MOST_STATES, MOST_STEPS, MEMO = 48, 4, 1 << 17
@@ -51,7 +51,9 @@ _UTF8 = re.compile(
     "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 )
 _WORD = re.compile(r"[^ \t\r\n\x0b\x0c]*[^\x00-\x7f][^ \t\r\n\x0b\x0c]*")
+_R_AT_END = re.compile(r"[ŕŔ](?!\w)|(?<!\w)[ŕŔ]")
 _ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
+_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _UNMAPPED = "࿿"
 
 
@@ -277,6 +279,9 @@ def search(word: str) -> tuple[str, float, tuple[str, ...]]:
     return best[1], start - best[0], best[2]
 
 
+_ORDER = [f"{read_as}>{written_in}" for read_as, written_in in SWAPS]
+
+
 def _spelled(c: str) -> bool:
     return c.isalnum() if c < "\x80" else _char(c)[0] in (_Kind.LETTER, _Kind.MARK)
 
@@ -293,12 +298,19 @@ def evidence(word: str) -> tuple[tuple[str, str, float, float], ...]:
     while lo < hi and not _spelled(word[hi - 1]):
         hi -= 1
     whole, inner = implausibility(word), implausibility(word[lo:hi])
+    inside = _R_AT_END.sub("*", word)
     out = []
     for read_as, written_in in SWAPS:
         after = _swapped(word, read_as, written_in)
         if after is not None and after != word:
             gain = whole - implausibility(after)
-            out.append((f"{read_as}>{written_in}", after, min(gain, inner - implausibility(after[lo:hi])), gain))
+            speaks = gain if hi - lo == len(word) else min(gain, inner - implausibility(after[lo:hi]))
+            # a rarer letter is no sign of a misreading, save the Slovak one outside its place between consonants
+            speaks -= sum(max(0.0, _char(a)[2] - _char(b)[2]) for a, b in zip(inside, after, strict=True) if a != b and _char(a)[1] == _char(b)[1] == "latin")
+            changed = [(_spelled(a), _spelled(b)) for a, b in zip(word, after, strict=True) if a != b]
+            if sum(b for _, b in changed) <= sum(a and not b for a, b in changed):
+                speaks = min(speaks, 0.0)  # letters became signs
+            out.append((f"{read_as}>{written_in}", after, speaks, gain))
     return tuple(out)
 
 
@@ -307,7 +319,7 @@ class Repairer:
 
     def __init__(self):
         self.memo: dict[str, tuple[str, float, tuple[str, ...]]] = {}
-        self.swaps: dict[str, tuple[tuple[str, str, float, float], ...]] = {}
+        self.swaps: dict[str, tuple[tuple[tuple[str, str, float, float], ...], tuple[tuple[str, float], ...]]] = {}
 
     def word(self, word: str) -> tuple[str, float, tuple[str, ...]]:
         found = self.memo.get(word)
@@ -319,37 +331,75 @@ class Repairer:
                 self.memo[word] = found
         return found
 
-    def evidence(self, word: str) -> tuple[tuple[str, str, float, float], ...]:
+    def evidence(self, word: str) -> tuple[tuple[tuple[str, str, float, float], ...], tuple[tuple[str, float], ...]]:
+        """The evidence of a word for every swap, and that which speaks for one."""
         found = self.swaps.get(word)
         if found is None:
-            found = evidence(word)
+            weighed = evidence(word)
+            found = weighed, tuple((swap, speaks) for swap, _, speaks, _ in weighed if speaks > 0)
             if len(self.swaps) >= MEMO // 4:
                 self.swaps.clear()
             if len(word) <= 64:
                 self.swaps[word] = found
         return found
 
-    def weighed(self, lines: list[str]) -> dict[str, str]:
-        """Repairs of lines whose words, save those misread as UTF-8, together speak for a swap."""
-        out: dict[str, str] = {}
+    def weighed(self, lines: list[list[str]]) -> dict[str, str]:
+        """Repairs of lines whose words, save those misread as UTF-8, together speak for a swap.
+
+        Lines that speak for the same swap add up over the text, every different word once;
+        lines that speak against it are left, so mixed texts keep their clean lines.
+        """
+        # the most a swap can gather; few texts have any that reaches the threshold
+        most_of: dict[str, float] = {}
+        for w in dict.fromkeys(w for line in lines for w in line):
+            for swap, speaks in self.evidence(w)[1]:
+                most_of[swap] = most_of.get(swap, 0.0) + speaks
+        open_swaps = {swap for swap, value in most_of.items() if value >= GAIN_EVIDENCE}
+        if not open_swaps:
+            return {}
+        weights: list[tuple[list[str], dict[str, float], dict[str, float], list[str]]] = []
+        over: dict[str, float] = {}
+        gained_over: dict[str, float] = {}
+        long_enough: set[str] = set()
+        against: set[str] = set()
+        seen: set[str] = set()
         for line in lines:
-            if line.isascii():
-                continue
             total: dict[str, float] = {}
             gained: dict[str, float] = {}
-            asking: dict[str, int] = {}
-            words = [w for w in dict.fromkeys(_WORD.findall(line)) if not any(s.endswith("utf-8") for s in self.word(w)[2])]
+            fresh: dict[str, float] = {}
+            asking: set[str] = set()
+            words = [w for w in line if not any(s.endswith("utf-8") for s in self.word(w)[2])]
             for w in words:
-                for swap, _, speaks, gain in self.evidence(w):
+                for swap, _, speaks, gain in self.evidence(w)[0]:
+                    if swap not in open_swaps:
+                        continue
                     total[swap] = total.get(swap, 0.0) + speaks
                     gained[swap] = gained.get(swap, 0.0) + gain
-                    if speaks > 0:
-                        asking[swap] = max(asking.get(swap, 0), len(w))
-            proven = [swap for swap, n in asking.items() if n >= 4 and total[swap] >= GAIN_EVIDENCE]
-            if proven:
-                best = max(proven, key=gained.__getitem__)
-                out |= {w: after for w in words for swap, after, _, _ in self.evidence(w) if swap == best}
-        return out
+                    if w not in seen:
+                        fresh[swap] = fresh.get(swap, 0.0) + speaks
+                    if speaks > 0 and len(w) >= 4:
+                        asking.add(swap)
+            seen.update(words)
+            for swap, value in total.items():
+                if value > 0:
+                    over[swap] = over.get(swap, 0.0) + max(0.0, fresh.get(swap, 0.0))
+                    gained_over[swap] = gained_over.get(swap, 0.0) + gained[swap]
+                elif value < 0:
+                    against.add(swap)
+            long_enough |= {swap for swap in asking if total[swap] > 0}
+            weights.append((words, total, gained, [swap for swap in asking if total[swap] >= GAIN_EVIDENCE]))
+        agreed = [swap for swap in over if over[swap] >= GAIN_EVIDENCE and swap in long_enough]
+        most = max(agreed, key=gained_over.__getitem__, default=None)
+        repairs: dict[str, str] = {}
+        for words, total, gained, proven in weights:
+            # the same mistake tends to recur, so what the text says weighs in every line
+            able = {*proven, *(swap for swap in agreed if total.get(swap, 0.0) > 0)}
+            best = max((s for s in _ORDER if s in able), key=lambda s: gained[s] + gained_over[s], default=None)
+            if best is None and most not in against:
+                best = most  # a line that says nothing follows if no line of the text speaks against the swap
+            if best is not None:
+                repairs |= {w: after for w in words for swap, after, _, _ in self.evidence(w)[0] if swap == best}
+        return repairs
 
     def agreed(self, line: str, path: tuple[str, ...], gains: dict[str, float]) -> dict[str, str]:
         """Repairs of a line if its words together gain enough by a swap that some of them ask for.
@@ -372,9 +422,14 @@ class Repairer:
         repairs: dict[str, str] = {}
         weak: dict[tuple[str, ...], dict[str, float]] = {}  # by path: words whose gain alone is too small
         lines = text.split("\n")
+        listed = []
         for line in lines:
+            if line.isascii():
+                continue
+            words = list(dict.fromkeys(_WORD.findall(line)))
+            listed.append(words)
             swaps: dict[tuple[str, ...], dict[str, float]] = {}
-            for w in () if line.isascii() else dict.fromkeys(_WORD.findall(line)):
+            for w in words:
                 after, gain, path = self.word(w)
                 if not path or path == ("unescape",):
                     continue
@@ -388,15 +443,15 @@ class Repairer:
             for path, gains in swaps.items():
                 if max(map(len, gains)) >= 4:
                     repairs |= self.agreed(line, path, gains)
-        repairs |= self.weighed(lines)
+        repairs |= self.weighed(listed)
         if repairs:
             # what is proven for the text decides its doubtful words too
             proven = {self.word(w)[2] for w in repairs}
             for path, gains in weak.items():
                 if path in proven:
-                    repairs |= {w: self.word(w)[0] for w, gain in gains.items() if gain >= GAIN_WEAK}
+                    repairs |= {w: self.word(w)[0] for w, gain in gains.items() if gain >= GAIN_WEAK and w not in repairs}
             text = _WORD.sub(lambda m: repairs.get(m.group(), m.group()), text)
-        lossy = "\ufffd" in text or any("\x80" <= c < "\xa0" and c != "\x85" for c in text)
+        lossy = "\ufffd" in text or bool(_CONTROL.search(text))
         return text, bool(repairs) or lossy
 
 
