@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgram.operators import align, classify, decode, lm, wordalign
 from weftgram.operators import phrasetables as pt
-from weftgram.plans import pipeline
+from weftgram.plans import align_queries, pipeline
 from weftgram.sources import tables
 
 S = {1: "a b", 2: "a c", 3: "b"}
@@ -234,6 +234,20 @@ def test_decoder(spark, tmp_path):
     assert {(r["side"], r["n"]): r["uses"] for r in decode.option_stats(options).collect()}["src", 2] == 1
 
 
+def test_options_of_a_hot_source(spark, tmp_path):
+    """Every target of a source is an option, the rarest too."""
+    pairs = [(i, "hot", f"t{min(i, 24)}") for i in range(26)] + [(90, "cold", "c")]
+    pairs += [(100 + 10 * i + j, "hot", f"t{i}") for i in range(24) for j in range(2)]
+    spark.createDataFrame(pairs, "pair_id bigint, source string, target string").write.parquet(f"{tmp_path}/phrasepairs.parquet")
+    table = [("hot cold", "x", None, "", None), ("new", "x", None, "", None)]
+    spark.createDataFrame(table, "s string, t string, sc array<double>, wa string, cnt array<bigint>").write.parquet(f"{tmp_path}/phrasetable_a.parquet")
+    got = sorted(r["n_options"] for r in align_queries.decode_options(spark, str(tmp_path)).collect())
+    assert got == [1, 26]  # 25 targets and one, against a word that passes through
+    corpus, _, _ = align_queries._sided(spark, str(tmp_path))
+    made = decode.make_options(corpus, align_queries._table_align(spark, str(tmp_path)), 4)
+    assert sorted(r["count"] for r in made.groupBy("sid").count().collect()) == got
+
+
 def test_beam_against_all_orders():
     rng = random.Random(2)
     lm_rows = [{"ngram": [w], "lp": -rng.random() * 3, "bo": -rng.random()} for w in ("a", "b", "c", "d", "</s>", "<unk>")]

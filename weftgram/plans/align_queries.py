@@ -203,18 +203,17 @@ def lm_backoff_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _table_align(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored phrase pairs of the records as word arrays, p(t|s) in logarithms, ten targets a source."""
+    """Scored phrase pairs of the records as word arrays, p(t|s) in logarithms, every target of a source."""
     counts = records(spark, sf).groupBy("source", "target").agg(F.count(F.lit(1)).alias("c")).select(F.col("source").alias("src"), F.col("target").alias("tgt"), "c")
-    best = align.best_n(align.integrate_reverse(counts), 10, "p_ts")
+    both = align.integrate_reverse(counts)
     logs = F.array(F.log("p_ts"), F.log("p_st"))
-    return best.select(C.split_words(F.col("src")).alias("src"), C.split_words(F.col("tgt")).alias("tgt"), logs.alias("scores")).filter("size(src) > 0 AND size(tgt) > 0")
+    return both.select(C.split_words(F.col("src")).alias("src"), C.split_words(F.col("tgt")).alias("tgt"), logs.alias("scores")).filter("size(src) > 0 AND size(tgt) > 0")
 
 
 def decode_options(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct sources of phrase table copy a with their translation options."""
     corpus, _, _ = _sided(spark, sf)
-    rows = decode.make_options(corpus, _table_align(spark, sf), 4)
-    return rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n_options"))
+    return decode.count_options(corpus, _table_align(spark, sf), 4)
 
 
 def decode_beam(spark: SparkSession, sf: str) -> DataFrame:
