@@ -209,6 +209,15 @@ def test_text_files(spark, tmp_path):
     assert {r["part"] for r in parts} == {"train", "test"} and sum(r["count"] for r in parts) == 100
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(18)], "src int, dst int").coalesce(1)
+    start = spark.createDataFrame([(0,)], "node int")
+    assert sorted(r["node"] for r in graph.closure(edges, start).collect()) == list(range(1, 19))
+    with pytest.raises(ValueError):
+        graph.closure(edges, start, 2)
+    assert graph.closure(edges.filter("src < 2"), start, 2).count() == 2
+
+
 def test_relations(spark):
     posts = spark.createDataFrame([([6, 7], 1, 0), ([6, 0], 1, 0), ([8, 9], 2, 0), ([8, 0], 2, 0), ([6, 8], 3, 0), ([6, 0], 3, 0), (None, 3, 1), ([6, 0], 3, 0)], "pattern array<int>, sid bigint, pos int")
     clean = graph.clean_postings(posts)

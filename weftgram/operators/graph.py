@@ -8,6 +8,8 @@ be removed first (``clean_postings``). Empty tables give empty edges.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,19 +185,24 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     return edges.join(a.join(b, "mid").select("parent", "child"), ["parent", "child"], "left_anti")
 
 
-def closure(edges: DataFrame, start: DataFrame, max_steps: int = 16) -> DataFrame:
-    """``start, node``: all nodes reachable from ``start.node`` over ``src, dst`` edges."""
+def closure(edges: DataFrame, start: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """``start, node``: all nodes reachable from ``start.node`` over ``src, dst`` edges.
+
+    A limit of steps that leaves nodes out raises an error.
+    """
     from weftgram.runtime import cut_lineage
 
     reached = start.select(F.col("node").alias("start"), F.col("node")).distinct()
     front, out = reached, None
-    for _ in range(max_steps):
+    for taken in itertools.count():
         step = front.join(edges.select(F.col("src").alias("node"), F.col("dst")), "node").select("start", F.col("dst").alias("node")).distinct()
         if out is not None:
             step = step.join(out, ["start", "node"], "left_anti")
         front = cut_lineage(step)
         if front.isEmpty():
             break
+        if taken == max_steps:
+            raise ValueError(f"nodes lie more than {max_steps} steps away")
         out = front if out is None else cut_lineage(out.unionByName(front))
     return out if out is not None else reached.limit(0)
 
