@@ -350,6 +350,16 @@ def test_pipeline(spark, tmp_path):
     assert first.count() == 7 and pipeline.exists(spark, out + "/align-em")
 
 
+def test_pipeline_is_made_again_from_other_input(spark, tmp_path):
+    make = lambda d: spark.createDataFrame([(i, t.split()) for i, t in d.items()], "sid bigint, tokens array<string>")
+    out = str(tmp_path / "p")
+    sizes = [pipeline.align_corpora(spark, make(s), make(T), out, n, 1, 2).count() for s, n in ((S, 1), (S, 2), (S | {3: "b d"}, 2))]
+    assert sizes[0] < sizes[1] < sizes[2]
+    written = (tmp_path / "p" / "align-em" / "_SUCCESS").stat().st_mtime_ns
+    assert pipeline.align_corpora(spark, make(S | {3: "b d"}), make(T), out, 2, 1, 2).count() == sizes[2]
+    assert (tmp_path / "p" / "align-em" / "_SUCCESS").stat().st_mtime_ns == written
+
+
 def test_dot(spark):
     edges = spark.createDataFrame([("child", 'a "b"', "a", 1.0), ("child", "c", "d", 1.0)], "rel string, src string, dst string, w double")
     nodes = spark.createDataFrame([('a "b"', 1), ("a", 2), ("c", 1), ("d", 1)], "pattern string, cnt bigint")

@@ -1,7 +1,8 @@
-"""Stages from text to alignment, each written once and read again if it is there."""
+"""Stages from text to alignment, each written once and read again if made from the same input and parameters."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,35 +12,56 @@ from weftgram.operators import align, mining
 from weftgram.sources import corpus as C
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _marker(spark: SparkSession, path: str, name: str):
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), marker
+
+
+def exists(spark: SparkSession, path: str, name: str = "_SUCCESS") -> bool:
     """Whether a written table is complete, on any file system Spark knows."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    files, marker = _marker(spark, path, name)
+    return files.exists(marker)
+
+
+def content_key(words: DataFrame) -> str:
+    """A key of the rows of a table, in whatever order they come."""
+    row = F.xxhash64(*words.columns)
+    sums = words.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(20,0)")), F.sum(F.hash(*words.columns).cast("bigint"))).first()
+    return key(words.dtypes, *sums)
+
+
+def key(*parts) -> str:
+    return hashlib.md5(repr(parts).encode()).hexdigest()
 
 
-def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at path, making and writing it first if it is missing."""
-    if not exists(spark, path):
+def stage(spark: SparkSession, path: str, made_from: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Read the table at path, making and writing it first unless it was made from the same key."""
+    name = f"_FROM_{made_from}"
+    if not (exists(spark, path) and exists(spark, path, name)):
         make().write.mode("overwrite").parquet(path)
+        files, marker = _marker(spark, path, name)
+        files.create(marker).close()
     return spark.read.parquet(path)
 
 
 def align_corpora(spark: SparkSession, source: DataFrame, target: DataFrame, out: str, max_n: int = 3, least: int = 2, rounds: int = 5, method: str = "em") -> DataFrame:
     """Vocabulary, encoding, patterns and alignment of two corpora (``sid, tokens`` of words)."""
-    sides = {}
+    sides, keys = {}, []
     for name, words in (("source", source), ("target", target)):
-        vocab = stage(spark, f"{out}/{name}/vocab", lambda w=words: C.build_vocab(C.word_frequencies(w)))
-        encoded = stage(spark, f"{out}/{name}/corpus", lambda w=words, v=vocab: C.encode(w, v))
-        patterns = stage(spark, f"{out}/{name}/patterns", lambda e=encoded: mining.count_ngrams(e, max_n, least))
-        sides[name] = stage(spark, f"{out}/{name}/postings", lambda e=encoded, p=patterns: mining.postings(e, p, max_n))
+        words_key = content_key(words.select("sid", "tokens"))
+        patterns_key = key(words_key, max_n, least)
+        keys.append(patterns_key)
+        vocab = stage(spark, f"{out}/{name}/vocab", words_key, lambda w=words: C.build_vocab(C.word_frequencies(w)))
+        encoded = stage(spark, f"{out}/{name}/corpus", words_key, lambda w=words, v=vocab: C.encode(w, v))
+        patterns = stage(spark, f"{out}/{name}/patterns", patterns_key, lambda e=encoded: mining.count_ngrams(e, max_n, least))
+        sides[name] = stage(spark, f"{out}/{name}/postings", patterns_key, lambda e=encoded, p=patterns: mining.postings(e, p, max_n))
 
     def make() -> DataFrame:
         ways = {"em": lambda a, b: align.train_em(a, b, rounds), "cooc": lambda a, b: align.train_cooc(a, b)}
         forward, backward = ways[method](sides["source"], sides["target"]), ways[method](sides["target"], sides["source"])
         return align.two_scores(forward, backward)
 
-    return stage(spark, f"{out}/align-{method}", make)
+    return stage(spark, f"{out}/align-{method}", key(*keys, method, rounds if method == "em" else None), make)
 
 
 def word_error_rate(pairs: DataFrame) -> DataFrame:
