@@ -161,6 +161,13 @@ def test_gain_adds_up_over_lines():
     assert er.Repairer().text("\n".join(["чистый перевод", *garbled]))[0] == "\n".join(["чистый перевод", *entries])
 
 
+def test_a_grave_before_a_plain_space():
+    r = er.Repairer()
+    assert r.text("dÃ©jÃ la ville ; lÃ oÃ¹ ; Ã Geste") == ("déjà la ville ; là où ; à Geste", True)
+    assert r.text("voilÃ tout") == ("voilà tout", True)
+    assert r.text("Ã , Õ : Ã é") == ("Ã , Õ : Ã é", False)
+
+
 def test_repair_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (2, "café", "x"), (3, None, "x"), (1, "cafÃ©", "x")], "doc_id bigint, text string, garbled string")
     got = sorted((r["doc_id"], r["garbled"], r["restored"]) for r in er.repair(df).collect())

@@ -53,7 +53,9 @@ _UTF8 = re.compile(
 _WORD = re.compile(r"[^ \t\r\n\x0b\x0c]*[^\x00-\x7f][^ \t\r\n\x0b\x0c]*")
 _R_AT_END = re.compile(r"[ŕŔ](?!\w)|(?<!\w)[ŕŔ]")
 _ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
+_LEAD = {page: decode for page, decode in ((p, bytes([0xC3]).decode(p)) for p in ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1254"))}
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+_WITHIN = re.compile("(?<=[a-zß-ÿ])Ã(?: (?= )|(?= ))")
 _UNMAPPED = "࿿"
 
 
@@ -401,6 +403,20 @@ class Repairer:
                 repairs |= {w: after for w in words for swap, after, _, _ in self.evidence(w)[0] if swap == best}
         return repairs
 
+    def blanked(self, text: str, pages: set[str]) -> tuple[str, bool]:
+        """Restores a misread 'à' whose no-break space became a plain one, and whether there was any.
+
+        Within a word after a small letter it shows by itself, alone only in a text with
+        other UTF-8 misread by the page.
+        """
+        found = 0
+        if "Ã" in text:
+            text, found = _WITHIN.subn("à", text)
+        for lead in {_LEAD[p] for p in pages if p in _LEAD}:
+            text, n = re.subn(rf"(?<![^\s’']){lead}(?: (?= )|(?= ))", "à", text)
+            found += n
+        return text, found > 0
+
     def agreed(self, line: str, path: tuple[str, ...], gains: dict[str, float]) -> dict[str, str]:
         """Repairs of a line if its words together gain enough by a swap that some of them ask for.
 
@@ -451,8 +467,9 @@ class Repairer:
                 if path in proven:
                     repairs |= {w: self.word(w)[0] for w, gain in gains.items() if gain >= GAIN_WEAK and w not in repairs}
             text = _WORD.sub(lambda m: repairs.get(m.group(), m.group()), text)
+        text, blanks = self.blanked(text, {self.word(w)[2][0].split(">")[0] for w in repairs if any(s.endswith("utf-8") for s in self.word(w)[2][:1])})
         lossy = "\ufffd" in text or bool(_CONTROL.search(text))
-        return text, bool(repairs) or lossy
+        return text, bool(repairs) or blanks or lossy
 
 
 _REPAIRERS: list[Repairer] = []
