@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -65,6 +66,22 @@ def test_lm_lines(spark, block):
     assert got[9]["reason"] == "logprob: above 0" and got[13]["reason"] == "backoff: not a number" and got[10]["reason"] == "ngram: wrong number of words"
 
 
+def test_long_lines(spark):
+    """A line of any length takes one pass: no call stack, no backtracking."""
+    word = "w" * 5 + " "
+    phrases = ["a ||| b ||| " + " ".join(["1" * 300] * 5) + " x", "a ||| b ||| " + " ".join(["0" * 300] * 5), "a" + " " * 1_000_000 + "b ||| c ||| 1", '"' + '""' * 500_000 + '" ||| b ||| 1', "a ||| b ||| 1" + " " * 1_000_000 + "x"]
+    df = spark.createDataFrame(list(enumerate(phrases)), "line_id bigint, line string")
+    began = time.time()
+    got = {r["line_id"]: r["reason"] for r in rawrecords.parse_phrase_lines(df).select("line_id", "reason").collect()}
+    lines = ["\\1-grams:", "-1\t" + word * 1_000_000, "-1\t" + word * 1_000_000 + "\t" + " " * 1_000_000 + "x", "-1" + " " * 1_000_000 + "\ta", "-" + "1" * 1_000_000 + "\ta"]
+    lm = spark.createDataFrame([(i, 1, x) for i, x in enumerate(lines)], "line_id bigint, file_no int, line string")
+    found = {r["line_id"]: r["reason"] for r in rawrecords.parse_lm_lines(lm).select("line_id", "reason").collect()}
+    assert time.time() - began < 30
+    bad = "scores: not one to five numbers"
+    assert got == {0: bad, 1: None, 2: None, 3: None, 4: bad}
+    assert found == {0: None, 1: "ngram: wrong number of words", 2: "backoff: not a number", 3: None, 4: "logprob: not finite"}
+
+
 def test_key_profile(spark, monkeypatch):
     monkeypatch.setattr(accumulate, "WIDTH", 3)
     rng = random.Random(0)

@@ -1,54 +1,126 @@
 """Loading delimited raw lines while separating the ones that fail to parse.
 
-Every schema is a list of field patterns. From it come one anchored expression
-for the whole row and, for rows that do not match, a ladder of prefix
-expressions; the first rung that fails names the broken field. All of it runs
-as built-in expressions inside the JVM.
-
-Defined results for edge cases: a null line fails with ``null line``; a null
-``line_id`` is passed on as null; an empty table gives empty frames; further
-columns of the input are ignored.
+A ``Schema`` lists the fields of a row. From it come one anchored expression for
+the whole row and, for rows that do not match, a ladder of expressions for ever
+longer prefixes of fields; the first rung that fails names the broken field. Rows
+that match are then held against the limits of their values. All of it runs as
+built-in expressions inside the JVM.
+
+Every loop of the expressions is possessive and no two of its ways match the same
+text, so a line of any length takes one pass and no call stack.
+
+Defined results for edge cases: a null line fails with ``null line``; a row with
+a null ``line_id`` is passed on and, where sections count, has none above it; an
+empty table gives empty frames; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-B = r"[ \t\r]"
-SEPARATOR = r"\|\|\|"
-#: A field without quotes up to the next separator, or one wholly in quotes.
-BARE = r'(?:(?!\|\|\|)[^"])*+'
-QUOTED = r'"(?:[^"]|"")*+"'
-ANY_FIELD = rf"(?:{B}*+{QUOTED}{B}*+|{BARE})"
-#: The same with something other than blanks in it.
-BARE_FULL = r'(?:(?!\|\|\|)[ \t\r])*+(?!\|\|\|)[^"](?:(?!\|\|\|)[^"])*+'
-QUOTED_FULL = rf'"{B}*+(?:[^" \t\r]|"")(?:[^"]|"")*+"'
-FULL_FIELD = rf"(?:{B}*+{QUOTED_FULL}{B}*+|{BARE_FULL})"
-SCORES = rf"{NUMBER}(?:{B}+{NUMBER}){{0,4}}"
-SCORE_FIELD = rf'(?:{B}*{SCORES}{B}*|{B}*"{B}*{SCORES}{B}*"{B}*)'
-
-
-def _fields_pattern(fields: list[str], end: str = "$") -> str:
-    return "^" + SEPARATOR.join(fields) + end
-
-
-PHRASE_ROW = _fields_pattern([FULL_FIELD, FULL_FIELD, SCORE_FIELD], r"\z")
-PHRASE_PARTS = rf"^({ANY_FIELD}){SEPARATOR}({ANY_FIELD}){SEPARATOR}({ANY_FIELD})\z"
-
-#: Tried in this order; the first expression that does not match gives the reason.
-PHRASE_LADDER = [
-    (_fields_pattern([ANY_FIELD], rf"(?:{SEPARATOR}|\z)"), "source: broken quoting"),
-    (_fields_pattern([ANY_FIELD, ""], ""), "target: missing"),
-    (_fields_pattern([FULL_FIELD, ""], ""), "source: empty"),
-    (_fields_pattern([ANY_FIELD, ANY_FIELD], rf"(?:{SEPARATOR}|\z)"), "target: broken quoting"),
-    (_fields_pattern([ANY_FIELD, ANY_FIELD, ""], ""), "scores: missing"),
-    (_fields_pattern([ANY_FIELD, FULL_FIELD, ""], ""), "target: empty"),
-    (_fields_pattern([ANY_FIELD] * 3, rf"(?:{SEPARATOR}|\z)"), "scores: broken quoting"),
-    (_fields_pattern([ANY_FIELD] * 3, r"\z"), "too many fields"),
-    (_fields_pattern([ANY_FIELD, ANY_FIELD, SCORE_FIELD], r"\z"), "scores: not one to five numbers"),
-]
+NUMBER = r"[+-]?(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field and the expression of its values, without the blanks around them.
+
+    ``value`` None stands for any text that is not blank. An ``optional`` field may be
+    blank or, at the end of a row, be missing.
+    """
+
+    name: str
+    value: str | None = None
+    fault: str = "empty"
+    optional: bool = False
+
+
+@dataclass(frozen=True)
+class Schema:
+    """Fields between separators. ``quoted`` allows a field wholly in quotes, with ``""`` for one inside."""
+
+    fields: tuple[Field, ...]
+    separator: str
+    blanks: str
+    quoted: bool = False
+
+    @property
+    def blank(self) -> str:
+        return f"[{self.blanks}]"
+
+    def _char(self, without: str = "") -> str:
+        """One character that neither opens a separator nor is among ``without``."""
+        without = '"' + without if self.quoted else without
+        if re.fullmatch(r"\\?.", self.separator):
+            return f"[^{without}{self.separator}]"
+        return f"(?!{self.separator})" + (f"[^{without}]" if without else r"[\s\S]")
+
+    def any(self) -> str:
+        """Whatever may stand in the place of a field."""
+        bare = f"(?:{self._char()})*+"
+        return rf'(?:{self.blank}*+"(?:[^"]|"")*+"{self.blank}*+|{bare})' if self.quoted else bare
+
+    def valid(self, field: Field) -> str:
+        """A valid value with the blanks around it."""
+        b = self.blank
+        ways = (field.value or f"{self._char(self.blanks)}(?:{self._char()})*+") + f"{b}*+"
+        if self.quoted:
+            text = field.value or rf'(?:[^"{self.blanks}]|"")(?:[^"]|"")*+'
+            ways = rf'(?:{ways}|"{b}*+{text}{b}*+"{b}*+)'
+        return rf"{b}*+(?:{ways})?+" if field.optional else rf"{b}*+{ways}"
+
+    def whole(self) -> str:
+        """The anchored expression of a valid row."""
+        row = ""
+        for i, field in enumerate(self.fields):
+            part = (self.separator if i else "") + self.valid(field)
+            row += rf"(?:{part})?+" if field.optional else part
+        return rf"^{row}\z"
+
+    def parts(self) -> str:
+        """The anchored expression of a row with a group for each field."""
+        return "^" + self.separator.join(f"({self.any()})" for _ in self.fields) + r"\z"
+
+    def ladder(self) -> list[tuple[str, str]]:
+        """Prefix expressions in order; the reason is that of the first that does not match.
+
+        Of every field in turn: its quoting, what must follow its place, its value.
+        """
+        rungs, sep = [], self.separator
+        close = rf"(?:{sep}|\z)"
+        for i, field in enumerate(self.fields):
+            before = "^" + (self.any() + sep) * i
+            # where an optional field is absent nothing of it can fail
+            absent = rf"|^{sep.join([self.any()] * i)}\z" if field.optional else ""
+            if self.quoted:
+                rungs.append((f"{before}{self.any()}{close}{absent}", f"{field.name}: broken quoting"))
+            if i + 1 == len(self.fields):
+                rungs.append((rf"{before}{self.any()}\z{absent}", "too many fields"))
+            elif not self.fields[i + 1].optional:
+                rungs.append((before + self.any() + sep, f"{self.fields[i + 1].name}: missing"))
+            rungs.append((f"{before}{self.valid(field)}{close}{absent}", f"{field.name}: {field.fault}"))
+        return rungs
+
+    def fault(self, line: Column) -> Column:
+        """Why a row does not match; null if it does."""
+        rungs = F.when(line.isNull(), F.lit("null line"))
+        for pattern, reason in self.ladder():
+            rungs = rungs.when(~line.rlike(pattern), F.lit(reason))
+        return F.when(~F.coalesce(line.rlike(self.whole()), F.lit(False)), F.coalesce(rungs, F.lit("whole row does not match")))
+
+
+PHRASES = Schema(
+    (Field("source"), Field("target"), Field("scores", rf"{NUMBER}(?:[ \t\r]++{NUMBER}){{0,4}}+", "not one to five numbers")),
+    separator=r"\|\|\|", blanks=r" \t\r", quoted=True,
+)
+ENTRIES = Schema(
+    (Field("logprob", NUMBER, "not a number"), Field("ngram"), Field("backoff", NUMBER, "not a number", optional=True)),
+    separator=r"\t", blanks=r" \r",
+)
 
 
 def parse_phrase_lines(raw: DataFrame) -> DataFrame:
@@ -58,37 +130,25 @@ def parse_phrase_lines(raw: DataFrame) -> DataFrame:
     loaded row, and the three fields are null for a failing one.
     """
     line = F.col("line")
-    rungs = F.when(line.isNull(), F.lit("null line"))
-    for pattern, reason in PHRASE_LADDER:
-        rungs = rungs.when(~line.rlike(pattern), F.lit(reason))
-    parsed = raw.select("line_id", "line", line.rlike(PHRASE_ROW).alias("__whole"))
-    for i, name in enumerate(("source", "target", "__scores"), 1):
-        parsed = parsed.withColumn("__f", F.regexp_replace(F.regexp_extract("line", PHRASE_PARTS, i), rf"^{B}+|{B}+\z", ""))
-        inner = F.replace(F.expr("substring(__f, 2, length(__f) - 2)"), F.lit('""'), F.lit('"'))
-        parsed = parsed.withColumn(name, F.when(F.col("__f").startswith('"'), inner).otherwise(F.col("__f")))
-    numbers = F.expr(
-        r"transform(filter(split(__scores, '[ \\t\\r]+'), x -> x <> ''), x -> try_cast(x AS double))"
-    )
-    parsed = parsed.withColumn("scores", F.when(F.col("__whole"), numbers))
-    in_range = F.expr("forall(scores, x -> x IS NOT NULL AND x >= 0 AND x <= 1)")
-    reason = (
-        F.when(F.coalesce(F.col("__whole"), F.lit(False)), F.when(~in_range, F.lit("scores: not within 0 and 1")))
-        .otherwise(F.coalesce(rungs, F.lit("whole row does not match")))
-    )
-    out = parsed.withColumn("reason", reason)
+    parsed = raw.select("line_id", "line", PHRASES.fault(line).alias("__fault"))
+    whole = F.col("__fault").isNull()
+    # without quotes the fields are what lies between the separators
+    split, bare = F.split("line", PHRASES.separator), ~F.contains("line", F.lit('"'))
+    for i, name in enumerate(("source", "target", "__scores")):
+        field = F.when(bare, F.get(split, F.lit(i))).otherwise(F.regexp_extract("line", PHRASES.parts(), i + 1))
+        field = F.btrim(F.when(whole, field), F.lit(" \t\r"))
+        inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+        parsed = parsed.withColumn(name, F.when(field.startswith('"'), inner).otherwise(field))
+    numbers = F.expr(r"transform(filter(split(__scores, '[ \\t\\r]+'), x -> x <> ''), x -> try_cast(x AS double))")
+    parsed = parsed.withColumn("scores", numbers)
+    in_range = F.forall("scores", lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+    out = parsed.withColumn("reason", F.when(~whole, F.col("__fault")).when(~in_range, F.lit("scores: not within 0 and 1")))
     good = F.col("reason").isNull()
     return out.select("line_id", *(F.when(good, F.col(c)).alias(c) for c in ("source", "target", "scores")), "reason")
 
 
-LM_BLANK = r"[ \r]"
-LM_STRUCTURE = r"^(?:\\data\\|ngram [0-9]+=[0-9]+|\\[0-9]+-grams:|\\end\\)?[ \t\r]*\z"
-LM_HEADER = r"^\\([0-9]+)-grams:[ \t\r]*\z"
-_WORD = r"[^ \t\r]+"
-_LM_HEAD = rf"^{LM_BLANK}*{NUMBER}{LM_BLANK}*\t{LM_BLANK}*"
-_LM_TAIL = rf"{LM_BLANK}*(?:\t{LM_BLANK}*(?:{NUMBER})?{LM_BLANK}*)?\z"
-#: A whole row; the number of words must equal the section's order besides.
-LM_ROW = _LM_HEAD + _WORD + "(?: +" + _WORD + ")*" + _LM_TAIL
-LM_PARTS = rf"^{LM_BLANK}*([^\t]*?){LM_BLANK}*\t{LM_BLANK}*([^\t]*?){LM_BLANK}*(?:\t{LM_BLANK}*([^\t]*?){LM_BLANK}*)?\z"
+LM_STRUCTURE = r"^(?:\\data\\|ngram [0-9]++=[0-9]++|\\[0-9]++-grams:|\\end\\)?+[ \t\r]*+\z"
+LM_HEADER = r"^\\([0-9]++)-grams:[ \t\r]*+\z"
 
 #: Lines of a file carried in one block when the section order is filled down.
 BLOCK_LINES = 1 << 16
@@ -99,10 +159,13 @@ def with_section_order(raw: DataFrame, block_lines: int = BLOCK_LINES) -> DataFr
 
     A file may hold any share of all rows, so the fill-down works in two levels:
     within blocks of ``block_lines`` line ids, and over one row per block. No
-    window ever covers more than a block's lines or a file's block count.
+    window ever covers more than a block's lines or a file's block count. Lines
+    without a number are dealt out by their text and get no order.
     """
     k = F.expr(r"try_cast(nullif(regexp_extract(line, '%s', 1), '') AS int)" % LM_HEADER.replace("\\", "\\\\"))
-    rows = raw.select("line_id", "file_no", "line", F.floor(F.col("line_id") / block_lines).alias("__block"), k.alias("__k"))
+    placed = F.col("line_id").isNotNull()
+    block = F.coalesce(F.floor(F.col("line_id") / block_lines), -1 - F.pmod(F.xxhash64("line"), F.lit(1 << 20)))
+    rows = raw.select("line_id", "file_no", "line", block.alias("__block"), F.when(placed, k).alias("__k"))
     per_block = rows.groupBy("file_no", "__block").agg(
         F.max_by("__k", F.when(F.col("__k").isNotNull(), F.col("line_id"))).alias("__last")
     )
@@ -115,7 +178,7 @@ def with_section_order(raw: DataFrame, block_lines: int = BLOCK_LINES) -> DataFr
     within = Window.partitionBy("file_no", "__block").orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("__own", F.last("__k", ignorenulls=True).over(within))
     joined = filled.join(carry, F.col("file_no").eqNullSafe(F.col("__cf")) & F.col("__block").eqNullSafe(F.col("__cb")), "left")
-    return joined.select("line_id", "file_no", "line", F.coalesce("__own", "__carry").alias("k"))
+    return joined.select("line_id", "file_no", "line", F.when(placed, F.coalesce("__own", "__carry")).alias("k"))
 
 
 def parse_lm_lines(raw: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -126,30 +189,26 @@ def parse_lm_lines(raw: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """
     line, k = F.col("line"), F.col("k")
     rows = with_section_order(raw, block_lines)
-    words = F.size(F.split(F.trim(F.regexp_extract(line, LM_PARTS, 2)), " +"))
-    rows = rows.withColumn("__whole", F.coalesce(line.rlike(LM_ROW) & (words == k), F.lit(False)))
-    p, b = (F.expr(f"try_cast(nullif(regexp_extract(line, '{LM_PARTS}', {i}), '') AS double)".replace("\\", "\\\\")) for i in (1, 3))
-    rows = rows.withColumns({"__p": p, "__b": b, "__structure": F.coalesce(line.rlike(LM_STRUCTURE), F.lit(False))})
+    structure = F.coalesce(line.rlike(LM_STRUCTURE), F.lit(False))
+    rows = rows.withColumn("__structure", structure).withColumn("__fault", F.when(~F.col("__structure"), ENTRIES.fault(line)))
+    whole = ~F.col("__structure") & F.col("__fault").isNull()
+    field = lambda i: F.btrim(F.get(F.split(line, ENTRIES.separator), F.lit(i)), F.lit(" \r"))
+    number = lambda i: F.when(whole, F.nullif(field(i), F.lit("")).try_cast("double"))
+    rows = rows.withColumns({"__p": number(0), "__g": F.when(whole, F.split(field(1), " +")), "__b": number(2)})
     infinite = lambda c: F.abs(c) == F.lit(float("inf"))
-    ladder = (
-        F.when(line.isNull(), "null line")
-        .when(~line.rlike(r"^[^\t]*\t"), "ngram: missing")
-        .when(~line.rlike(rf"^{LM_BLANK}*{NUMBER}{LM_BLANK}*\t"), "logprob: not a number")
-        .when(line.rlike(r"^[^\t]*\t[^\t]*\t[^\t]*\t"), "too many fields")
-        .when(k.isNull(), "ngram: no section above")
-        .when(~F.col("__whole") & ~line.rlike(LM_ROW) & line.rlike(rf"^[^\t]*\t{LM_BLANK}*{_WORD}(?: +{_WORD})*{LM_BLANK}*\t"), "backoff: not a number")
-        .when(~F.col("__whole"), "ngram: wrong number of words")
+    limits = (
+        F.when(k.isNull(), "ngram: no section above")
+        .when(F.size("__g") != k, "ngram: wrong number of words")
         .when(infinite(F.col("__p")), "logprob: not finite")
         .when(F.col("__p") > 0, "logprob: above 0")
         .when(infinite(F.col("__b")), "backoff: not finite")
     )
-    rows = rows.withColumn("reason", F.when(~F.col("__structure"), ladder))
+    rows = rows.withColumn("reason", F.when(~F.col("__structure"), F.coalesce("__fault", limits)))
     kind = F.when(F.col("__structure"), "structure").when(F.col("reason").isNull(), "entry").otherwise("failed")
     rows = rows.withColumn("kind", kind)
     entry = F.col("kind") == "entry"
-    ngram = F.regexp_replace(F.regexp_extract(line, LM_PARTS, 2), " +", " ")
     return rows.select(
-        "line_id", "file_no", F.when(entry, k).alias("k"), F.when(entry, ngram).alias("ngram"),
+        "line_id", "file_no", F.when(entry, k).alias("k"), F.when(entry, F.array_join("__g", " ")).alias("ngram"),
         F.when(entry, F.col("__p")).alias("logprob"), F.when(entry, F.col("__b")).alias("backoff"), "kind", "reason",
     )
 

@@ -65,12 +65,30 @@ _PT = rf"""parts AS (SELECT line_id, regexp_extract(line, '^((?:[ \t\r]*"(?:[^"]
   judged AS (SELECT *, coalesce(trim(source, E' \t\r') <> '' AND trim(target, E' \t\r') <> '' AND len(w) BETWEEN 1 AND 5
     AND len(list_filter(w, lambda v: NOT (regexp_full_match(v, '{_NUM}') AND coalesce(TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 1, false)))) = 0, false) AS ok FROM scored)"""
 
+_ANY = r'^((?:[ \t\r]*"(?:[^"]|"")*"[ \t\r]*)|(?:[^"|]|\|[^"|]|\|\|[^"|])*(?:\|{1,2}$)?)'
+_FULL = "trim(CASE WHEN {f} LIKE '\"%' THEN replace({f}[2:-2], '\"\"', '\"') ELSE {f} END, E' \\t\\r') <> ''"
+#: Why a line fails, field by field: ``f1 .. f3`` are the fields from the left, ``r1 .. r3`` what follows them.
+_REASONS = rf"""a1 AS (SELECT line_id, line, regexp_extract(line, '{_ANY}', 1) AS g1 FROM phrasetable_raw), b1 AS (SELECT *, substr(line, length(g1) + 1) AS r1, trim(g1, E' \t\r') AS f1 FROM a1),
+  a2 AS (SELECT *, regexp_extract(substr(r1, 4), '{_ANY}', 1) AS g2 FROM b1), b2 AS (SELECT *, substr(r1, length(g2) + 4) AS r2, trim(g2, E' \t\r') AS f2 FROM a2),
+  a3 AS (SELECT *, regexp_extract(substr(r2, 4), '{_ANY}', 1) AS g3 FROM b2), b3 AS (SELECT *, substr(r2, length(g3) + 4) AS r3, trim(g3, E' \t\r') AS f3 FROM a3),
+  sc AS (SELECT *, list_filter(regexp_split_to_array(CASE WHEN f3 LIKE '"%' THEN f3[2:-2] ELSE f3 END, '[ \t\r]+'), lambda w: w <> '') AS w FROM b3),
+  pr AS (SELECT line_id, CASE WHEN line IS NULL THEN 'null line' WHEN r1 <> '' AND NOT starts_with(r1, '|||') THEN 'source: broken quoting' WHEN r1 = '' THEN 'target: missing' WHEN NOT ({_FULL.format(f='f1')}) THEN 'source: empty'
+    WHEN r2 <> '' AND NOT starts_with(r2, '|||') THEN 'target: broken quoting' WHEN r2 = '' THEN 'scores: missing' WHEN NOT ({_FULL.format(f='f2')}) THEN 'target: empty'
+    WHEN r3 <> '' AND NOT starts_with(r3, '|||') THEN 'scores: broken quoting' WHEN r3 <> '' THEN 'too many fields'
+    WHEN len(w) NOT BETWEEN 1 AND 5 OR len(list_filter(w, lambda v: NOT regexp_full_match(v, '{_NUM}'))) > 0 THEN 'scores: not one to five numbers'
+    WHEN len(list_filter(w, lambda v: NOT coalesce(TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 1, false))) > 0 THEN 'scores: not within 0 and 1' END AS reason FROM sc),
+  lr AS (SELECT line_id, CASE WHEN line IS NULL THEN 'null line' WHEN len(f) < 2 THEN 'ngram: missing' WHEN NOT regexp_full_match(p, '{_NUM}') THEN 'logprob: not a number' WHEN g = '' THEN 'ngram: empty'
+    WHEN len(f) > 3 THEN 'too many fields' WHEN b <> '' AND NOT regexp_full_match(b, '{_NUM}') THEN 'backoff: not a number' WHEN k IS NULL THEN 'ngram: no section above'
+    WHEN len(list_filter(string_split(g, ' '), lambda w: w <> '')) <> k THEN 'ngram: wrong number of words' WHEN NOT isfinite(TRY_CAST(p AS DOUBLE)) THEN 'logprob: not finite'
+    WHEN TRY_CAST(p AS DOUBLE) > 0 THEN 'logprob: above 0' WHEN b <> '' AND NOT isfinite(TRY_CAST(b AS DOUBLE)) THEN 'backoff: not finite' END AS reason FROM parts)"""
+
 _COPY = """{x} AS (SELECT DISTINCT trim(s, E' \\t') AS s, trim(t, E' \\t') AS t, sc, wa, cnt FROM phrasetable_{x} WHERE s IS NOT NULL AND t IS NOT NULL)"""
 
 ORACLE = {
     "p2_found": f"""WITH {_LM}, lm AS (SELECT line_id FROM judged WHERE NOT ok),
       pt AS (WITH {_PT} SELECT line_id FROM judged WHERE NOT ok)
       SELECT 'phrasetable_raw' AS raw_table, line_id FROM pt UNION ALL SELECT 'lm_raw', line_id FROM lm""",
+    "p2_reasons": f"""WITH {_LM}, {_REASONS} SELECT 'phrasetable_raw' AS raw_table, line_id, reason FROM pr WHERE reason IS NOT NULL UNION ALL SELECT 'lm_raw', line_id, reason FROM lr WHERE reason IS NOT NULL""",
     "p2_phrase_pairs": f"""WITH {_PT} SELECT line_id, source, target, CAST(len(w) AS INT) AS n_scores,
       list_max(list_transform(w, lambda v: CAST(v AS DOUBLE))) AS best_score FROM judged WHERE ok""",
     "p2_lm_entries": f"""WITH {_LM} SELECT line_id, file_no, k, regexp_replace(g, ' +', ' ', 'g') AS ngram,
