@@ -2,7 +2,10 @@ import itertools
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftgram.operators import hotkeys, rawrecords, tablediff
 from weftgram.operators import accumulate
@@ -150,6 +153,26 @@ def test_chunks_match_between_copies(spark):
     assert [tuple(r) for r in tablediff.differences(base, base.unionByName(extra)).collect()] == [("010000x", "t", "only_b")]
 
 
+def test_few_rows_are_compared(spark):
+    """What is looked up in full stays near the rows that differ."""
+    base = spark.range(200_000).selectExpr("CAST(id AS STRING) AS s", "'t' AS t", "array(id / 7, 0.5D) AS sc", "'w' AS wa", "id AS cnt")
+    other = base.withColumn("cnt", F.when(F.col("cnt") % 500 == 0, -1).otherwise(F.col("cnt"))).filter("cnt % 700 <> 1")
+    rows = [tablediff.hashed_rows(x) for x in (base, other)]
+    differing = tablediff.differences(base, other).count()
+    suspects = tablediff.suspect_keys(*rows).count()
+    assert differing == 400 + 286 and differing <= suspects <= 8 * differing  # the small chunk of each, about four rows, and a neighbour's
+
+
+def test_chunks_at_batch_borders():
+    """The same chunks come out however the sorted rows are batched."""
+    rng = np.random.default_rng(1)
+    kh = np.sort(rng.integers(-(1 << 62), 1 << 62, 9000))
+    bucket, h = np.repeat([1, 2, 5], 3000), rng.integers(-(1 << 62), 1 << 62, 9000)
+    whole = pa.RecordBatch.from_arrays([pa.array(np.zeros(9000, np.int32)), pa.array(bucket), pa.array(kh), pa.array(h)], names=["side", "bucket", "kh", "h"])
+    cut = lambda n: pa.Table.from_batches(list(tablediff.cut_chunks(whole.slice(i, n) for i in range(0, 9000, n)))).to_pylist()
+    assert cut(9000) == cut(1000) == cut(7) and [k for r in cut(7) for k in r["keys"]] == kh.tolist()
+
+
 def test_grid_is_within_tolerance(spark):
     pairs = [(0.1, 0.1 + d) for d in (1e-13, 4e-10, 9e-10, 1.1e-9, 3e-9)] + list(itertools.product([0.0, -0.0], repeat=2))
     df = spark.createDataFrame([([x], [y]) for x, y in pairs], "x array<double>, y array<double>")

@@ -1,15 +1,17 @@
 """Differences between two copies of a keyed table by content-defined chunks.
 
-Both copies are range-partitioned together by key and sorted. A rolling hash
-over the last few keys cuts each copy into chunks where it meets a condition, so
-an inserted or missing row moves only the cuts near it. Chunks whose fingerprint
-is in both copies are equal; only the rows of the others meet in a full outer
-join and are compared field by field.
+Only the hash of a row's key and the hash of its content are moved. Each copy is
+sorted by key hash; a rolling hash over the last keys cuts it into chunks where it
+meets a condition, and into smaller chunks within these where it meets a weaker
+one, so an inserted or missing row moves only the cuts next to it. Chunks whose
+fingerprint is in both copies are equal; of the others the small chunks are
+matched in the same way. The keys left are looked up in both copies, and only
+their rows are compared field by field.
 
 Edge cases: rows with a null key part take no part; keys are compared without
 spaces and tabs at both ends; repeated rows count once, and of rows with one key
-and different values the least (by ``sc, wa, cnt``) is kept; an empty copy makes
-every row of the other ``only_a`` or ``only_b``; further columns are ignored.
+and different values the one with the least content hash is kept; an empty copy
+makes every row of the other ``only_a`` or ``only_b``; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,121 +24,142 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgram.runtime import cut_lineage
+
 #: Two scores differ if they are further apart than this.
 TOLERANCE = 1e-9
-#: Keys in the rolling hash; cuts come about every CUT_MASK + 1 rows, at MAX_ROWS at the latest.
-WINDOW, CUT_MASK, MAX_ROWS = 4, 63, 4096
+#: Keys in the rolling hash; cuts come about every CUT_MASK + 1 rows (MAX_ROWS at the latest), small ones every SMALL_MASK + 1.
+WINDOW, CUT_MASK, SMALL_MASK, MAX_ROWS = 2, 63, 3, 4096
+#: Buckets of keys sorted on their own, for each shuffle partition.
+BUCKETS = 8
+#: Keys of unmatched chunks that are sent to every task, at most (8 bytes each).
+BROADCAST_KEYS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def canonical_scores(sc: Column) -> Column:
-    """Text equal for two vectors only if no element differs beyond the tolerance.
+    """Numbers equal for two vectors only if no element differs beyond the tolerance.
 
-    A number up to 1000 in size becomes its cell on a grid of half the tolerance,
-    any other one its exact text.
+    A score up to 1000 in size becomes its cell on a grid of half the tolerance,
+    around the grid's points, any other one the hash of its exact value.
     """
     cell = lambda x: (
-        F.when(x.isNull(), F.lit("null"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(F.abs(x) < 1000, F.round(x * (2 / TOLERANCE)).cast("bigint").cast("string"))
-        .otherwise(x.cast("string"))
+        F.when(x.isNull(), F.lit(-(1 << 62)))
+        .when(F.isnan(x), F.lit(-(1 << 62) + 1))
+        .when(F.abs(x) < 1000, F.floor(x * (2 / TOLERANCE) + 0.5))
+        .otherwise(F.xxhash64(x))
     )
-    return F.array_join(F.transform(sc, cell), ",")
+    return F.transform(sc, cell)
 
 
-def clean_copy(df: DataFrame) -> DataFrame:
-    """One row per stripped (s, t) with the compared fields."""
+def hashed_rows(df: DataFrame) -> DataFrame:
+    """``kh, h, s, t, sc, wa, cnt``: stripped rows with the hashes of key and content."""
     strip = lambda c: F.btrim(F.col(c), F.lit(" \t"))
-    rows = df.select(strip("s").alias("s"), strip("t").alias("t"), F.col("sc").cast("array<double>").alias("sc"), "wa", "cnt")
+    rows = df.select(strip("s").alias("s"), strip("t").alias("t"), F.col("sc").cast("array<double>").alias("sc"), F.col("wa").cast("string").alias("wa"), F.col("cnt").cast("bigint").alias("cnt"))
     rows = rows.filter("s IS NOT NULL AND t IS NOT NULL")
-    return rows.groupBy("s", "t").agg(F.min(F.struct("sc", "wa", "cnt")).alias("v")).select("s", "t", "v.sc", "v.wa", "v.cnt")
+    # the length keeps apart what hashing one value after another would not
+    key = F.xxhash64("s", F.length("s"), "t")
+    content = F.xxhash64("s", F.length("s"), "t", canonical_scores(F.col("sc")), F.size("sc"), F.col("sc").isNull(), "wa", F.col("wa").isNull(), "cnt", F.col("cnt").isNull())
+    return rows.select(key.alias("kh"), content.alias("h"), "s", "t", "sc", "wa", "cnt")
+
 
+def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows ``side, bucket, kh, h`` that come sorted by bucket and key hash, one side after the other.
 
-def chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add ``fp1, fp2, rows`` of its chunk to each row of a sorted partition."""
-    open_rows: list[pa.RecordBatch] = []
-    open_size, side = 0, None
-    tail = np.zeros(0, np.uint64)
+    A row for each small chunk: its fingerprint and that of the chunk around it, each with
+    the number of rows, and its key hashes.
+    """
+    held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # of the open chunk: 2 * bucket + side, key, content
+    last = (-1, np.uint64(0))  # bucket and key of the row before it
 
-    def close() -> pa.RecordBatch:
-        table = pa.Table.from_batches(open_rows).combine_chunks()
-        h = table.column("h").to_numpy().view(np.uint64)
+    def chunks(bucket: np.ndarray, kh: np.ndarray, h: np.ndarray, final: bool) -> tuple[pa.RecordBatch | None, int]:
+        """The chunks closed so far, and how many rows they hold."""
+        before_b, before_k = np.concatenate([[last[0]], bucket[:-1]]), np.concatenate([[last[1]], kh[:-1]]).astype(np.uint64)
         with np.errstate(over="ignore"):
-            fp1, fp2 = np.add.reduce(h), np.add.reduce((h ^ (h >> np.uint64(29))) * _Q)
-        n = len(h)
-        batch = table.to_batches()[0].select(["side", "s", "t", "sc", "wa", "cnt"])
-        extra = [pa.array(np.full(n, v, np.uint64).view(np.int64)) for v in (fp1, fp2)] + [pa.array(np.full(n, n, np.int32))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "fp1", "fp2", "rows"])
+            # WINDOW keys: the one before, where it is of the same bucket, and this
+            rolling = ((np.where(before_b == bucket, before_k, np.uint64(0)) * _P + kh) * _Q) >> np.uint64(40)
+            ends = np.append(bucket[1:] != bucket[:-1], final)
+            cut, small = ends | (rolling & np.uint64(CUT_MASK) == 0), ends | (rolling & np.uint64(SMALL_MASK) == 0)
+            ready = len(kh) if final else (int(np.flatnonzero(cut)[-1]) + 1 if cut.any() else 0)
+            if not ready and len(kh) >= MAX_ROWS:
+                ready = len(kh)
+            if not ready:
+                return None, 0
+            cut, small = cut[:ready], small[:ready]
+            cut[-1] = small[-1] = True
+            first, first_small = (np.concatenate([[0], np.flatnonzero(x)[:-1] + 1]) for x in (cut, small))
+            mixed = (h[:ready] ^ (h[:ready] >> np.uint64(29))) * _Q
+            around = np.searchsorted(first, first_small, "right") - 1
+            columns = [(bucket[first_small] & 1).astype(np.int32)]
+            for starts, pick in ((first, around), (first_small, slice(None))):
+                sizes = np.diff(np.append(starts, ready)).astype(np.int32)
+                columns += [np.add.reduceat(x, starts)[pick].view(np.int64) for x in (h[:ready], mixed)] + [sizes[pick]]
+        offsets = np.append(first_small, ready).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kh[:ready].view(np.int64)))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], names=["side", "o1", "o2", "o_rows", "i1", "i2", "i_rows", "keys"]), ready
 
     for batch in batches:
-        sides = batch.column("side").to_numpy()
-        keys = batch.column("kh").to_numpy().view(np.uint64)
-        turns = [0, *(np.flatnonzero(np.diff(sides)) + 1), len(sides)]
-        for lo, hi in zip(turns, turns[1:], strict=False):
-            if lo == hi:
-                continue
-            if side is not None and side != sides[lo]:
-                if open_rows:
-                    yield close()
-                open_rows, open_size, tail = [], 0, np.zeros(0, np.uint64)
-            side = sides[lo]
-            with_tail = np.concatenate([tail, keys[lo:hi]])
-            with np.errstate(over="ignore"):
-                rolling = np.zeros(hi - lo, np.uint64)
-                factor = np.uint64(1)
-                for back in range(WINDOW):
-                    start = len(tail) - back
-                    part = with_tail[max(start, 0) : start + hi - lo]
-                    rolling[hi - lo - len(part) :] += part * factor
-                    factor *= _P
-                cut = ((rolling * _Q) >> np.uint64(40)) & np.uint64(CUT_MASK) == 0
-            tail = with_tail[-(WINDOW - 1) :]
-            begin = lo
-            for end in [*(np.flatnonzero(cut) + lo + 1), hi]:
-                while begin < end:
-                    step = min(end, begin + MAX_ROWS - open_size)
-                    open_rows.append(batch.slice(begin, step - begin))
-                    open_size += step - begin
-                    if open_size == MAX_ROWS or (step == end and cut[end - 1 - lo]):
-                        yield close()
-                        open_rows, open_size = [], 0
-                    begin = step
-    if open_rows:
-        yield close()
+        if not batch.num_rows:
+            continue
+        new = 2 * batch.column("bucket").to_numpy().astype(np.int64) + batch.column("side").to_numpy(), batch.column("kh").to_numpy().view(np.uint64), batch.column("h").to_numpy().view(np.uint64)
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        out, ready = chunks(*held, final=False)
+        if ready:
+            last = (held[0][ready - 1], held[1][ready - 1])
+            held = [x[ready:] for x in held]
+            yield out
+    if len(held[0]):
+        yield chunks(*held, final=True)[0]
+
+
+def _unmatched(chunks: DataFrame, mark: list[str]) -> DataFrame:
+    """``side`` and ``mark`` of the chunks whose fingerprint is on one side only."""
+    prints = chunks.select("side", *mark).distinct()
+    a, b = (prints.filter(F.col("side") == side) for side in (0, 1))
+    return a.join(b.select(*mark), mark, "left_anti").unionByName(b.join(a.select(*mark), mark, "left_anti"))
+
+
+def suspect_keys(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``kh``: key hashes of the small chunks that the copies do not share, written to the checkpoint folder.
+
+    ``a`` and ``b`` are ``hashed_rows``. Equal rows meet on their way, so one key may hold any
+    share of all rows.
+    """
+    buckets = BUCKETS * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_sides = None
+    for side, rows in ((0, a), (1, b)):
+        one = rows.groupBy("kh").agg(F.min("h").alias("h"))
+        # the partitioning of the aggregation in finer steps: both copies have the same keys in a bucket
+        one = one.select(F.lit(side).alias("side"), F.pmod(F.hash("kh"), F.lit(buckets)).alias("bucket"), "kh", "h").sortWithinPartitions("bucket", "kh")
+        sorted_sides = one if sorted_sides is None else sorted_sides.unionByName(one)
+    schema = "side int, o1 bigint, o2 bigint, o_rows int, i1 bigint, i2 bigint, i_rows int, keys array<bigint>"
+    chunks = sorted_sides.mapInArrow(cut_chunks, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    outer, inner = ["o1", "o2", "o_rows"], ["i1", "i2", "i_rows"]
+    within = chunks.join(_unmatched(chunks, outer), ["side", *outer], "left_semi")
+    rows = within.join(_unmatched(within, inner), ["side", *inner], "left_semi")
+    keys = cut_lineage(rows.select(F.explode("keys").alias("kh")).distinct())
+    chunks.unpersist()
+    return keys
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """``s, t, diff``: ``only_a``, ``only_b`` or the name of a differing field."""
-    both = clean_copy(a).withColumn("side", F.lit(0)).unionByName(clean_copy(b).withColumn("side", F.lit(1)))
-    content = F.concat_ws("\u0001", "s", "t", F.coalesce(canonical_scores(F.col("sc")), F.lit("-")), F.coalesce("wa", F.lit("\u0002")), F.coalesce(F.col("cnt").cast("string"), F.lit("-")))
-    hashed = both.select(
-        "side", "s", "t", "sc", "wa", "cnt",
-        F.xxhash64(content, F.col("sc").isNull(), F.size("sc"), F.col("wa").isNull()).alias("h"),
-        F.xxhash64("s", "t").alias("kh"),
-    )
-    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = hashed.repartitionByRange(parts, "s", "t").sortWithinPartitions("side", "s", "t")
-    schema = "side int, s string, t string, sc array<double>, wa string, cnt bigint, fp1 bigint, fp2 bigint, rows int"
-    chunked = ranged.mapInArrow(chunk_ids, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    prints = chunked.select("side", "fp1", "fp2", "rows").distinct()
-    mark = ["fp1", "fp2", "rows"]
-    fa, fb = prints.filter("side = 0").drop("side"), prints.filter("side = 1").drop("side")
-    unmatched = fa.join(fb, mark, "left_anti").withColumn("side", F.lit(0)).unionByName(fb.join(fa, mark, "left_anti").withColumn("side", F.lit(1)))
-    rows = chunked.join(unmatched, ["side", *mark], "left_semi")
-    cols = lambda x, side: rows.filter(f"side = {side}").select("s", "t", *(F.col(c).alias(f"{c}_{x}") for c in ("sc", "wa", "cnt")), F.lit(True).alias(x))
-    met = cols("a", 0).join(cols("b", 1), ["s", "t"], "full_outer")
+    rows_a, rows_b = hashed_rows(a), hashed_rows(b)
+    keys = suspect_keys(rows_a, rows_b)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    value = F.struct("h", "sc", "wa", "cnt")
+    both = None
+    for side, rows in ((0, rows_a), (1, rows_b)):
+        found = rows.join(keys, "kh", "left_semi").select("s", "t", F.lit(side).alias("side"), value.alias("v"))
+        both = found if both is None else both.unionByName(found)
+    of = lambda side: F.min_by(F.when(F.col("side") == side, F.col("v")), F.when(F.col("side") == side, F.col("v.h"))).alias("ab"[side])
+    met = both.groupBy("s", "t").agg(of(0), of(1))
     near = F.expr(
-        "size(sc_a) = size(sc_b) AND forall(arrays_zip(sc_a, sc_b), z -> z.sc_a <=> z.sc_b"
-        f" OR (z.sc_a IS NOT NULL AND z.sc_b IS NOT NULL AND NOT isnan(z.sc_a) AND NOT isnan(z.sc_b) AND abs(z.sc_a - z.sc_b) <= {TOLERANCE}))"
-    )
-    same_sc = (F.col("sc_a").isNull() & F.col("sc_b").isNull()) | F.coalesce(near, F.lit(False))
-    fields = F.array_compact(
-        F.array(
-            F.when(~same_sc, "sc"),
-            F.when(~F.col("wa_a").eqNullSafe(F.col("wa_b")), "wa"),
-            F.when(~F.col("cnt_a").eqNullSafe(F.col("cnt_b")), "cnt"),
-        )
+        "size(a.sc) = size(b.sc) AND forall(zip_with(a.sc, b.sc, (x, y) -> x <=> y"
+        f" OR (x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND abs(x - y) <= {TOLERANCE})), z -> z)"
     )
+    same_sc = (F.col("a.sc").isNull() & F.col("b.sc").isNull()) | F.coalesce(near, F.lit(False))
+    fields = F.array_compact(F.array(F.when(~same_sc, "sc"), *(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in ("wa", "cnt"))))
     diffs = F.when(F.col("b").isNull(), F.array(F.lit("only_a"))).when(F.col("a").isNull(), F.array(F.lit("only_b"))).otherwise(fields)
     return met.select("s", "t", F.explode(diffs).alias("diff"))
