@@ -1,3 +1,4 @@
+import gzip
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ from weftgram.functions.gaps import gap_masks
 from weftgram.operators import graph, mining, reports
 from weftgram.operators.model import PatternModel
 from weftgram.sources import corpus as C
+from weftgram.sources import tables
 from weftgram.streaming import query_stream
 
 TEXT = {1: "to be or not to be", 2: "to be or so", 3: "", 4: "or not to be here", 5: "to see or not to see"}
@@ -267,3 +269,59 @@ def test_compact_corpus(spark, tmp_path):
     (tmp_path / "c.clsenc").write_bytes(data[1] + data[2] + data[3])
     got = sorted((r["sid"], r["tokens"]) for r in C.read_class_encoded(spark, str(tmp_path / "c.clsenc")).collect())
     assert got == [(1, [6, 300, 70000]), (3, [7])]
+
+
+FOLIA = """<FoLiA xmlns="http://ilk.uvt.nl/folia"><text><head><w><t>Title</t></w></head><p><s><w><t>to</t></w><w><t>be</t></w></s><s><w><t>or</t></w><w><t class="original">x</t></w></s><w><t>loose</t></w></p></text></FoLiA>"""
+
+
+def test_sentences_over_files(spark, tmp_path):
+    """Numbers go on from file to file, whatever the format."""
+    (tmp_path / "a.txt").write_text("to be\n\nor not\n")
+    (tmp_path / "b.txt").write_text("to see\n")
+    (tmp_path / "c.xml").write_text(FOLIA)
+    (tmp_path / "d.xml.gz").write_bytes(gzip.compress(FOLIA.encode()))
+    got = [(r["sid"], " ".join(r["tokens"])) for r in C.read_text(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt")]).orderBy("sid").collect()]
+    assert got == [(1, "to be"), (3, "or not"), (4, "to see")]
+    (tmp_path / "list").write_text("\n".join(str(tmp_path / n) for n in ("d.xml.gz", "b.txt", "c.xml", "a.txt")) + "\n")
+    words = ["Title", "to be", "or", "loose"]
+    mixed = [(r["sid"], " ".join(r["tokens"])) for r in C.read_list(spark, str(tmp_path / "list")).orderBy("sid").collect()]
+    assert mixed == got + [(5 + i, w) for i, w in enumerate(words * 2)]
+    vocab = C.build_vocab(C.word_frequencies(C.read_corpus(spark, str(tmp_path / "c.xml"))))
+    assert C.encode(C.read_corpus(spark, str(tmp_path / "c.xml")), vocab).count() == 4
+
+
+def test_long_sentences_stay(spark):
+    text = " ".join(f"w{i}" for i in range(300)) + "\nshort one\n" + "\n" * 150_000 + "last line"
+    docs = spark.createDataFrame([(1, text), (2, "next"), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {r["sid"]: len(r["tokens"]) for r in C.sentences_of_documents(docs).collect()}
+    assert got == {C.LINES: 300, C.LINES + 1: 2, C.LINES + 150_002: 2, 2 * C.LINES: 1}
+    assert C.sentences_of_documents(docs, max_tokens=255).count() == 3
+
+
+def test_encode_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(C, "HEAD_CLASSES", 8)
+    corpus = spark.createDataFrame([(1, list("abcda")), (2, list("axz"))], "sid bigint, tokens array<string>")
+    vocab = C.build_vocab(C.word_frequencies(corpus)).filter("word <> 'z'")
+    cls = {r["word"]: r["cls"] for r in vocab.collect()}
+    got = {r["sid"]: r["tokens"] for r in C.encode(corpus, vocab).collect()}
+    assert got == {1: [cls[w] for w in "abcda"], 2: [cls["a"], cls["x"], 2]}
+    assert [r["sid"] for r in C.encode(corpus, vocab, "drop").collect()] == [1]
+    assert C.prune_classes(vocab, 7).filter("cls > 5").count() == 1
+
+
+def test_word_alignments_of_two_files(spark, tmp_path):
+    record = "# pair\nx y\nNULL ({ }) a ({ 1 }) b ({ 2 })\n"
+    (tmp_path / "1").write_text(record * 2)
+    (tmp_path / "2").write_text(record)
+    got = tables.read_word_alignments(spark, [str(tmp_path / "2"), str(tmp_path / "1")]).select("sid", "s", "t").collect()
+    assert sorted(map(tuple, got)) == [(sid, i, i) for sid in (1, 2, 3) for i in (0, 1)]
+
+
+def test_alignment_lines(spark):
+    table = spark.createDataFrame([("a", "x", [0.5, 0.25]), ("b", "y", [1.0])], "src string, tgt string, scores array<double>")
+    kw = spark.createDataFrame([("a", "x", "k", 0.1), ("a", "x", "l", 0.3), ("a", "x", "m", 0.3)], "src string, tgt string, kw string, p double")
+    assert [r["line"] for r in tables.alignment_lines(table, False, kw).orderBy("src").collect()] == ["a\tx\t0.5 0.25\n#KEYWORDS:\tl 0.3\tm 0.3\tk 0.1", "b\ty\t1.0"]
+    assert [r["line"] for r in tables.alignment_lines(table, True, kw).orderBy("src").collect()] == ["a ||| x ||| 0.5 0.25", "b ||| y ||| 1.0"]
+    assert [r["kw"] for r in tables.limit_keywords(kw, 1, 0.2).collect()] == ["l"]
+    lines = C.segment_lines(spark.createDataFrame([(1, ["a", "<b"])], "sid bigint, tokens array<string>"), "ref", "c", "x", "y").orderBy("at").collect()
+    assert [r["line"] for r in lines] == ['<refset setid="mteval" srclang="x" trglang="y">', '<DOC docid="c" sysid="c">', '<seg id="1">a &lt;b</seg>', "</DOC>", "</refset>"]

@@ -190,7 +190,7 @@ def extract_supported(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lm(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.language_model(table(spark, sf, "lm_raw").select("line_id", "file_no", "line"), check=False)
+    return tables.language_model(table(spark, sf, "lm_raw").select("line_id", "file_no", "line"))
 
 
 def lm_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,8 +319,8 @@ _SPANS = f"""{_A}, {_wa('a')}, {_SENT}, pts AS (SELECT pa.sid, s, t FROM pa JOIN
 def _lm_sql() -> str:
     from weftgram.plans.data_queries import _LM
 
-    return f"""{_LM}, ent AS (SELECT k AS n, regexp_replace(g, ' +', ' ', 'g') AS g, CAST(p AS DOUBLE) * 2.302585092994046 AS lp, coalesce(TRY_CAST(nullif(b, '') AS DOUBLE), 0.0) * 2.302585092994046 AS bo FROM judged WHERE ok),
-      best AS (SELECT g, n, lp, bo FROM (SELECT *, row_number() OVER (PARTITION BY g, n ORDER BY lp DESC, bo DESC) AS r FROM ent) WHERE r = 1),
+    return f"""{_LM}, ent AS (SELECT line_id, k AS n, regexp_replace(g, ' +', ' ', 'g') AS g, CAST(p AS DOUBLE) * 2.302585092994046 AS lp, coalesce(TRY_CAST(nullif(b, '') AS DOUBLE), 0.0) * 2.302585092994046 AS bo FROM judged WHERE ok),
+      best AS (SELECT g, n, lp, bo FROM (SELECT *, row_number() OVER (PARTITION BY g, n ORDER BY line_id DESC) AS r FROM ent) WHERE r = 1),
       uni AS (SELECT g FROM best WHERE n = 1), lost AS (SELECT DISTINCT g FROM (SELECT g, unnest(string_split(g, ' ')) AS w FROM best WHERE n > 1) WHERE w NOT IN (SELECT g FROM uni)),
       model AS (SELECT * FROM best WHERE g NOT IN (SELECT g FROM lost))"""
 

@@ -161,8 +161,8 @@ QUERIES = {
 
 SENT = r"""docs AS (SELECT doc_id, kind, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
   lines AS (SELECT doc_id, kind, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM docs),
-  words AS (SELECT doc_id * 100000 + i - 1 AS sid, kind, list_filter(list_transform(string_split(l, ' '), lambda w: trim(w, E'\t\r')), lambda w: w <> '') AS toks FROM lines),
-  s AS (SELECT * FROM words WHERE len(toks) BETWEEN 1 AND 255),
+  words AS (SELECT doc_id * 2147483648 + i - 1 AS sid, kind, list_filter(list_transform(string_split(l, ' '), lambda w: trim(w, E'\t\r')), lambda w: w <> '') AS toks FROM lines),
+  s AS (SELECT * FROM words WHERE len(toks) >= 1),
   tok AS (SELECT sid, kind, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM s),
   vf AS (SELECT word, count(*) AS freq FROM tok GROUP BY word),
   voc AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, word) + 5 AS INT) AS cls, word, freq FROM vf)"""

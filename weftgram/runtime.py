@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spaces, tabs and carriage returns, as a regular expression class.
@@ -19,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a local session without that setting (a test) gets a temporary folder; on a
+    cluster, where a machine's folder is not shared, that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if current is None:
         current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="weftgram-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
@@ -38,6 +41,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def global_rank(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``rank``, 0 ... over all rows in an order without ties.
+
+    The rows are sorted by range over all tasks and written once, so that the numbers of
+    rows before each partition, one row per partition, hold for what is read again.
+    """
+    rows = cut_lineage(df.orderBy(*order)).withColumn("__m", F.monotonically_increasing_id())
+    part = F.shiftright("__m", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))  # one row per partition
+    joined = rows.withColumn("__part", part).join(offsets, "__part")
+    return joined.select(*df.columns, (F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a frame read from a few large row groups one task per core.
 

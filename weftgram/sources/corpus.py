@@ -1,24 +1,30 @@
 """Corpora: plain text and structured documents in, class-encoded sentences out.
 
-A corpus is ``sid BIGINT, tokens ARRAY``. Lines without tokens and lines of more
-than ``MAX_TOKENS`` keep their number and contribute nothing.
+A corpus is ``sid BIGINT, tokens ARRAY``. Lines without tokens keep their number and
+contribute nothing. Readers take ``max_tokens``: sentences of more tokens are then left
+out as well; by default none is.
 """
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgram.functions.patterns import BEGIN, END, FIRST_CLASS, UNKNOWN, WORD_GAP, class_bytes
-from weftgram.runtime import with_scalars
+from weftgram.runtime import global_rank, with_scalars
 
-MAX_TOKENS = 255
 RESERVED = [(UNKNOWN, "{UNKNOWN}"), (BEGIN, "{BEGIN}"), (END, "{END}")]
-#: Lines per document id in sentence numbers.
-LINES = 100_000
+#: Room for the lines of a document in sentence numbers: a text has fewer than 2**31 characters.
+LINES = 1 << 31
+#: Classes looked up in a table sent to every task; as numbers are unique, so many at most.
+HEAD_CLASSES = 1 << 17
 
 
 def split_words(line):
@@ -26,47 +32,115 @@ def split_words(line):
     return F.filter(F.transform(F.split(line, " "), lambda w: F.btrim(w, F.lit("\t\r"))), lambda w: w != "")
 
 
-def sentences_of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One sentence per line; ``sid = doc_id * LINES + line`` (line from 0)."""
-    lines = docs.select(F.col(doc_id).alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    rows = lines.select((F.col("d") * LINES + F.col("line_no")).alias("sid"), split_words(F.col("line")).alias("tokens"))
-    return rows.filter(F.size("tokens").between(1, MAX_TOKENS))
+def held(rows: DataFrame, max_tokens: int | None) -> DataFrame:
+    size = F.size("tokens")
+    return rows.filter((size >= 1) & (size <= max_tokens) if max_tokens else size >= 1)
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, line_id, line`` of text files (also .gz, .bz2), lines numbered from 1 in file order.
+def sentences_of_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_tokens: int | None = None) -> DataFrame:
+    """One sentence per line; ``sid = doc_id * LINES + line`` (line from 0).
 
-    Files are split as usual. Rows of a split come in order, so a line's number is the
-    number of lines in the file's earlier splits, a running sum over one row per
-    split, plus its place in its own.
+    A document number beyond 2**32 has no room in ``sid`` and raises an overflow.
     """
+    lines = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    rows = lines.select((F.col("d") * F.lit(LINES) + F.col("line_no")).alias("sid"), split_words(F.col("line")).alias("tokens"))
+    return held(rows, max_tokens)
+
+
+def numbered(rows: DataFrame, *columns: str) -> DataFrame:
+    """``file, line_id, sid, columns`` of rows read from files, with ``file, block, m``.
+
+    Rows of a split come in order, so the number of a row in its file (``line_id``, from 1)
+    is the number of rows in the file's earlier splits, a running sum over one row per
+    split, plus its place in its own. ``sid`` counts on over the files by path.
+    """
+    blocks = rows.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_file = running(Window.partitionBy("file").orderBy("block"))
+    # one row per split of the input
+    offsets = blocks.select("file", "block", "first", in_file.alias("before"), running(Window.partitionBy(F.lit(0)).orderBy("file", "block")).alias("all_before"))
+    place = F.col("m") - F.col("first") + 1
+    return rows.join(offsets, ["file", "block"]).select("file", (place + F.col("before")).alias("line_id"), (place + F.col("all_before")).alias("sid"), *columns)
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, line_id, sid, line`` of text files (also .gz, .bz2), numbered in file order and over all files."""
     rows = spark.read.text(paths, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
     )
-    blocks = rows.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("file", "block", "first", before.alias("before"))
-    return rows.join(offsets, ["file", "block"]).select("file", (F.col("m") - F.col("first") + F.col("before") + 1).alias("line_id"), "line")
+    return numbered(rows, "line")
 
 
-def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, sid, tokens`` of plain text, one sentence per line."""
+def read_text(spark: SparkSession, paths: str | list[str], max_tokens: int | None = None) -> DataFrame:
+    """``file, sid, tokens`` of plain text, one sentence per line; numbers go on from file to file by path."""
     lines = numbered_lines(spark, paths)
-    return lines.select("file", F.col("line_id").alias("sid"), split_words(F.col("line")).alias("tokens")).filter(F.size("tokens").between(1, MAX_TOKENS))
+    return held(lines.select("file", "sid", split_words(F.col("line")).alias("tokens")), max_tokens)
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def folia_sentences(path: str, content: bytes) -> Iterator[list[str]]:
+    """Words of a document; a new sentence where the element around the words changes."""
+    raw = gzip.decompress(content) if path.endswith(".gz") else bz2.decompress(content) if path.endswith(".bz2") else content
+    around, parent, words = [], None, []
+    for event, element in ElementTree.iterparse(io.BytesIO(raw), ("start", "end")):
+        if event == "start":
+            around.append(element)
+            continue
+        around.pop()
+        if _local(element.tag) == "w":
+            own = [t for t in element if _local(t.tag) == "t" and t.get("class", "current") == "current"]
+            word = "".join(own[0].itertext()).strip() if own else ""
+            if word:
+                if words and around[-1] is not parent:
+                    yield words
+                    words = []
+                parent = around[-1]
+                words.append(word)
+            element.clear()
+    if words:
+        yield words
+
+
+def read_folia(spark: SparkSession, paths: str | list[str], max_tokens: int | None = None) -> DataFrame:
+    """``file, sid, tokens`` of FoLiA documents (also .xml.gz, .xml.bz2), one task for each.
+
+    A sentence is what words lie in one element; words outside of ``s`` elements count too.
+    """
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, content in files.itertuples(index=False):
+                rows = [(path, i, words) for i, words in enumerate(folia_sentences(path, bytes(content)))]
+                yield pd.DataFrame(rows, columns=["file", "m", "tokens"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    rows = files.mapInPandas(parse, "file string, m bigint, tokens array<string>").withColumn("block", F.lit(0))
+    return held(numbered(rows, "tokens").select("file", "sid", "tokens"), max_tokens)
 
-def read_folia(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Words of FoLiA documents; a sentence is the words of one ``s`` element."""
-    xml = spark.read.format("xml").option("rowTag", "s").option("attributePrefix", "_").schema(
-        "`_xml:id` string, _id string, w array<struct<t: string>>"
-    ).load(paths)
-    key = F.coalesce(F.col("`_xml:id`"), F.col("_id"))
-    return xml.select(key.alias("sentence"), F.transform("w", lambda w: w["t"]).alias("tokens")).filter(F.size("tokens").between(1, MAX_TOKENS))
 
+def read_corpus(spark: SparkSession, paths: str | list[str], max_tokens: int | None = None) -> DataFrame:
+    """By extension: ``.xml``, ``.xml.gz`` and ``.xml.bz2`` as FoLiA, anything else as text.
+
+    Files of both kinds go on in their numbers, texts first.
+    """
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    folia = [p for p in listed if p.endswith((".xml", ".xml.gz", ".xml.bz2"))]
+    texts = [p for p in listed if p not in folia]
+    if not folia or not texts:
+        return read_folia(spark, folia, max_tokens) if folia else read_text(spark, texts, max_tokens)
+    lines = numbered_lines(spark, texts)
+    first = held(lines.select("file", "sid", split_words(F.col("line")).alias("tokens")), max_tokens)
+    further = with_scalars(read_folia(spark, folia, max_tokens), lines.agg(F.coalesce(F.max("sid"), F.lit(0)).alias("top")))
+    return first.unionByName(further.select("file", (F.col("sid") + F.col("top")).alias("sid"), "tokens"))
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: ``.xml`` as FoLiA, anything else as text."""
-    return read_folia(spark, path) if path.endswith(".xml") else read_text(spark, path)
+
+def read_list(spark: SparkSession, path: str, max_tokens: int | None = None) -> DataFrame:
+    """The corpus of the files that a text file lists, one path per line."""
+    listed = [r["value"].strip() for r in spark.read.text(path).collect()]  # names of files, not their content
+    return read_corpus(spark, [p for p in listed if p], max_tokens)
 
 
 def word_frequencies(*corpora: DataFrame) -> DataFrame:
@@ -79,23 +153,9 @@ def word_frequencies(*corpora: DataFrame) -> DataFrame:
 
 
 def _numbered(freq: DataFrame, first: int, compatible: bool) -> DataFrame:
-    """Dense class numbers by (freq descending, word), without a global sort in one task.
-
-    Words are ranked within their frequency; the frequencies, few and distinct, get
-    the offsets.
-    """
-    per_freq = freq.groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
-    # distinct frequencies: at most the square root of twice the tokens
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_freq.select("freq", before.alias("before"))
-    # rare frequencies hold most words, so the rank is built from first letters up
-    salted = freq.withColumn("head", F.substring("word", 1, 2))
-    heads = salted.groupBy("freq", "head").agg(F.count(F.lit(1)).alias("n"))
-    head_before = F.coalesce(F.sum("n").over(Window.partitionBy("freq").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = heads.select("freq", "head", head_before.alias("head_before"))
-    own = F.row_number().over(Window.partitionBy("freq", "head").orderBy("word")) - 1
-    ranked = salted.withColumn("own", own).join(heads, ["freq", "head"]).join(offsets, "freq")
-    dense = F.col("before") + F.col("head_before") + F.col("own") + first
+    """Dense class numbers by (freq descending, word), from a range-partitioned sort."""
+    ranked = global_rank(freq.select("word", "freq"), F.desc("freq"), F.col("word"))
+    dense = F.col("rank") + first
     if compatible:
         # numbers with a zero byte are left out: 255 to each block of 256
         i = dense - 1
@@ -122,14 +182,26 @@ def extend_vocab(vocab: DataFrame, freq: DataFrame) -> DataFrame:
     return vocab.select("cls", "word", "freq").unionByName(added)
 
 
+def prune_classes(vocab: DataFrame, below: int) -> DataFrame:
+    """Classes under a number; as frequent words come first, those of rare words go."""
+    return vocab.filter(F.col("cls") < below)
+
+
 def encode(corpus: DataFrame, vocab: DataFrame, unknown: str = "placeholder") -> DataFrame:
-    """Words to classes. ``unknown``: ``placeholder`` (class 2), ``drop`` the sentence, or ``gap`` words kept as 0."""
+    """Words to classes. ``unknown``: ``placeholder`` (class 2), ``drop`` the sentence, or ``gap`` words kept as 0.
+
+    The low classes, which frequent words have, are looked up in a table of at most
+    ``HEAD_CLASSES`` rows in every task; only the rarer words are moved to meet theirs.
+    """
     rows = corpus.select("sid", F.posexplode("tokens").alias("pos", "word"))
+    table = vocab.select("word", F.col("cls").cast("int").alias("cls"))
+    head = F.broadcast(table.filter(F.col("cls") < HEAD_CLASSES))
+    near = rows.join(head, "word").select("sid", "pos", "word", "cls")
+    far = rows.join(head, "word", "left_anti").join(table.filter(F.col("cls") >= HEAD_CLASSES), "word", "left").select("sid", "pos", "word", "cls")
+    cls = F.coalesce("cls", F.lit(UNKNOWN))
     if unknown == "gap":
-        cls = F.when(F.col("word") == WORD_GAP, F.lit(0)).otherwise(F.coalesce("cls", F.lit(UNKNOWN)))
-    else:
-        cls = F.coalesce("cls", F.lit(UNKNOWN))
-    joined = rows.join(vocab.select("word", "cls"), "word", "left").select("sid", "pos", cls.alias("cls"), F.col("cls").isNull().alias("new"))
+        cls = F.when(F.col("word") == WORD_GAP, F.lit(0)).otherwise(cls)
+    joined = near.unionByName(far).select("sid", "pos", cls.alias("cls"), F.col("cls").isNull().alias("new"))
     packed = joined.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "cls"))).alias("t"), F.max("new").alias("new"))
     if unknown == "drop":
         packed = packed.filter(~F.col("new"))
@@ -186,6 +258,21 @@ def hash_split(corpus: DataFrame, shares: dict[str, int], seed: int = 0) -> Data
     return corpus.withColumn("part", part)
 
 
+def segment_lines(corpus: DataFrame, kind: str, name: str, source: str = "", target: str = "") -> DataFrame:
+    """``at, line``: the lines, in order of ``at``, of a test set for outside scorers. ``kind``: tst, ref or src."""
+    if kind not in ("tst", "ref", "src"):
+        raise ValueError(f"no such kind: {kind}")
+    spark = corpus.sparkSession
+    safe = F.replace(F.replace(F.array_join("tokens", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    segments = corpus.select(F.col("sid").alias("at"), F.concat(F.lit('<seg id="'), F.col("sid").cast("string"), F.lit('">'), safe, F.lit("</seg>")).alias("line"))
+    top, most = -(1 << 63), (1 << 63) - 1
+    frame = [(top, f'<{kind}set setid="mteval" srclang="{source}" trglang="{target}">'), (top + 1, f'<DOC docid="{name}" sysid="{name}">'), (most - 1, "</DOC>"), (most, f"</{kind}set>")]
+    return spark.createDataFrame(frame, "at bigint, line string").unionByName(segments)
+
+
+def first_sentences(corpus: DataFrame, n: int) -> DataFrame:
+    """Sentences numbered up to n, an explicit limit of training data."""
+    return corpus.filter(F.col("sid") <= n)
 
 
 def to_class_bytes(corpus: DataFrame) -> DataFrame:
