@@ -32,8 +32,8 @@ TOLERANCE = 1e-9
 WINDOW, CUT_MASK, SMALL_MASK, MAX_ROWS = 2, 63, 3, 4096
 #: Buckets of keys sorted on their own, for each shuffle partition.
 BUCKETS = 8
-#: Keys of unmatched chunks that are sent to every task, at most (8 bytes each).
-BROADCAST_KEYS = 1 << 20
+#: Fingerprints or keys of unmatched chunks that are sent to every task, at most (20 bytes each).
+BROADCAST_ROWS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,10 +114,16 @@ def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unmatched(chunks: DataFrame, mark: list[str]) -> DataFrame:
-    """``side`` and ``mark`` of the chunks whose fingerprint is on one side only."""
-    prints = chunks.select("side", *mark).distinct()
-    a, b = (prints.filter(F.col("side") == side) for side in (0, 1))
-    return a.join(b.select(*mark), mark, "left_anti").unionByName(b.join(a.select(*mark), mark, "left_anti"))
+    """Fingerprints that are on one side only: an anti-join both ways, in one aggregation by fingerprint.
+
+    Written to the checkpoint folder, and sent to every task if they are few.
+    """
+    sides = chunks.groupBy(*mark).agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    return _small(cut_lineage(sides.filter("a = b").select(*mark)))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def suspect_keys(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -136,8 +142,8 @@ def suspect_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     schema = "side int, o1 bigint, o2 bigint, o_rows int, i1 bigint, i2 bigint, i_rows int, keys array<bigint>"
     chunks = sorted_sides.mapInArrow(cut_chunks, schema).persist(StorageLevel.MEMORY_AND_DISK)
     outer, inner = ["o1", "o2", "o_rows"], ["i1", "i2", "i_rows"]
-    within = chunks.join(_unmatched(chunks, outer), ["side", *outer], "left_semi")
-    rows = within.join(_unmatched(within, inner), ["side", *inner], "left_semi")
+    within = chunks.join(_unmatched(chunks.select("side", *outer), outer), outer, "left_semi")
+    rows = within.join(_unmatched(within.select("side", *inner), inner), inner, "left_semi")
     keys = cut_lineage(rows.select(F.explode("keys").alias("kh")).distinct())
     chunks.unpersist()
     return keys
@@ -146,8 +152,7 @@ def suspect_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """``s, t, diff``: ``only_a``, ``only_b`` or the name of a differing field."""
     rows_a, rows_b = hashed_rows(a), hashed_rows(b)
-    keys = suspect_keys(rows_a, rows_b)
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    keys = _small(suspect_keys(rows_a, rows_b))
     value = F.struct("h", "sc", "wa", "cnt")
     both = None
     for side, rows in ((0, rows_a), (1, rows_b)):
