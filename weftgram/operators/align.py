@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
-from weftgram.runtime import cut_lineage
+from weftgram.runtime import cut_lineage, small
 
 
 def per_sentence(occurrences: DataFrame) -> DataFrame:
@@ -34,8 +34,13 @@ def best_n(pairs: DataFrame, n: int, score: str = "score", by: str = "src") -> D
 
 
 def normalize(pairs: DataFrame, score: str = "score", by: str = "src", out: str | None = None) -> DataFrame:
-    """Scores divided by their sum over the targets of a source."""
-    return pairs.withColumn(out or score, F.col(score) / F.sum(score).over(Window.partitionBy(by)))
+    """Scores divided by their sum over the targets of a source.
+
+    Sums are aggregated and joined back, so a hot source is one row of sums and no window.
+    """
+    total = pairs.groupBy(by).agg(F.sum(score).alias("__total"))
+    shared = pairs.join(total, by).withColumn(out or score, F.col(score) / F.col("__total"))
+    return shared.select(*pairs.columns, *([out] if out and out not in pairs.columns else []))
 
 
 def cooc_scores(source: DataFrame, target: DataFrame, least: float = 0.0, measure: str = "jaccard") -> DataFrame:
@@ -65,7 +70,7 @@ def train_cooc(source: DataFrame, target: DataFrame, least: float = 0.0, bestn:
     """
     scored = cooc_scores(source, target, 0.0 if least_prob > 0 else least, measure)
     if least_prob > 0:
-        scored = scored.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy("src")))
+        scored = normalize(scored, out="share")
     kept = scored.filter(F.col("score") >= least)
     kept = best_n(kept, bestn) if bestn else kept
     if least_prob > 0:
@@ -97,19 +102,21 @@ def train_em(
         s = s.unionByName(t.select("sid").distinct().select(mark.alias("src"), "sid", F.lit(1).cast("bigint").alias("cs")))
     weight = (F.col("cs") * F.col("ct")).cast("double") if weighted else F.lit(1.0)
     pairs = cut_lineage(s.join(t, "sid").select("sid", "src", "tgt", weight.alias("w")))
+    table = uniform = None
     if init is not None:
-        table = pairs.select("src", "tgt").distinct().join(init.select("src", "tgt", F.col("score").alias("p")), ["src", "tgt"])
+        table = cut_lineage(pairs.select("src", "tgt").distinct().join(init.select("src", "tgt", F.col("score").alias("p")), ["src", "tgt"]))
     else:
-        n_types = max(1, pairs.select("tgt").distinct().count())
-        table = pairs.select("src", "tgt").distinct().select("src", "tgt", F.lit(1.0 / n_types).alias("p"))
+        uniform = F.lit(1.0 / max(1, pairs.select("tgt").distinct().count()))
+        if rounds == 0:
+            table = pairs.select("src", "tgt").distinct().withColumn("p", uniform)
     before = 0.0
     for _ in range(rounds):
-        joined = pairs.join(table, ["src", "tgt"])
+        # in the first round every pair has the same probability, and nothing is looked up
+        joined = pairs.withColumn("p", uniform) if table is None else pairs.join(small(table), ["src", "tgt"])
         # a source explains a target occurrence by its share among the sources of the sentence
         share = joined.withColumn("s", F.sum("p").over(Window.partitionBy("sid", "tgt")))
         counts = share.groupBy("src", "tgt").agg(F.sum(F.col("w") * F.col("p") / F.col("s")).alias("c"), F.first("p").alias("old"))
-        updated = counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("src")))
-        updated = cut_lineage(updated.select("src", "tgt", "p", "old"))
+        updated = cut_lineage(normalize(counts, "c", out="p").select("src", "tgt", "p", "old"))
         table = updated.select("src", "tgt", "p")
         if epsilon is not None:
             moved = updated.agg(F.avg(F.abs(F.col("p") - F.col("old")))).first()[0] or 0.0
@@ -137,9 +144,8 @@ def two_scores(forward: DataFrame, backward: DataFrame, least_ts: float = 0.0, l
 
 def integrate_reverse(counts: DataFrame, count: str = "c", single: bool = False) -> DataFrame:
     """Both conditional probabilities of pair counts, or their product as one score."""
-    ts = F.col(count) / F.sum(count).over(Window.partitionBy("src"))
-    st = F.col(count) / F.sum(count).over(Window.partitionBy("tgt"))
-    out = counts.select("src", "tgt", ts.alias("p_ts"), st.alias("p_st"))
+    pairs = counts.select("src", "tgt", count)
+    out = normalize(normalize(pairs, count, "src", "p_ts"), count, "tgt", "p_st").select("src", "tgt", "p_ts", "p_st")
     return out.select("src", "tgt", (F.col("p_ts") * F.col("p_st")).alias("score")) if single else out
 
 
@@ -237,7 +243,9 @@ def keywords(align: DataFrame, source: DataFrame, target: DataFrame, corpus_coun
     held_s = source.select("pattern", "sid").dropna().distinct()
     held_t = target.select("pattern", "sid").dropna().distinct()
     both = pairs.join(held_s.select(F.col("pattern").alias("src"), "sid"), "src").join(held_t.select(F.col("pattern").alias("tgt"), "sid"), ["tgt", "sid"])
-    frequent = corpus_counts.filter(F.col("cnt") >= least_keyword).select(F.col("pattern").alias("kw"), F.col("cnt").alias("n_corpus"))
+    # p is at most 1 / count(kw), so a keyword beyond 1 / least_p cannot pass
+    useful = (F.col("cnt") >= least_keyword) & (F.col("cnt") * F.lit(float(least_p)) <= 1)
+    frequent = corpus_counts.filter(useful).select(F.col("pattern").alias("kw"), F.col("cnt").alias("n_corpus"))
     kws = held_s.select(F.col("pattern").alias("kw"), "sid").join(frequent, "kw")
     counted = both.join(kws, "sid").groupBy("src", "tgt", "kw").agg(F.count(F.lit(1)).alias("n"), F.first("n_corpus").alias("n_corpus"), F.first("n_targets").alias("n_targets"))
     counted = counted.filter((F.col("src") != F.col("kw")) & ~P.contains("src", "kw"))

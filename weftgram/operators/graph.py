@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
+from weftgram.operators.mining import template_pairs
+from weftgram.runtime import cut_lineage, with_scalars
 
 RELATIONS = ["child", "parent", "successor", "predecessor", "cooc", "skipcontent", "skipusage", "template", "instance"]
 
@@ -76,13 +78,14 @@ def cooccurrence(postings: DataFrame, least_sentences: int, least: int = 1, dire
     held = grams.join(frequent, "pattern", "left_semi").groupBy("sid", "pattern").agg(F.collect_list("pos").alias("at"))
     a = held.select("sid", F.col("pattern").alias("src"), F.col("at").alias("a"))
     b = held.select("sid", F.col("pattern").alias("dst"), F.col("at").alias("b"))
-    pairs = a.join(b, "sid").filter("src <> dst")
-    if directed:
-        n = F.aggregate("a", F.lit(0).cast("bigint"), lambda t, i: t + F.size(F.filter("b", lambda j: j >= i)))
-    else:
-        n = (F.size("a") * F.size("b")).cast("bigint")
-    edges = pairs.select("src", "dst", n.alias("w")).filter("w > 0")
-    return edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).filter(F.col("w") >= least)
+    # each pair once; its edges of both ways are made from its counts at the end
+    pairs = a.join(b, "sid").filter("src < dst")
+    ahead = lambda x, y: F.aggregate(x, F.lit(0).cast("bigint"), lambda t, i: t + F.size(F.filter(y, lambda j: j >= i)))
+    both = (F.size("a") * F.size("b")).cast("bigint")
+    there, back = (ahead("a", "b"), ahead("b", "a")) if directed else (both, both)
+    sums = pairs.groupBy("src", "dst").agg(F.sum(there).alias("w"), F.sum(back).alias("v"))
+    ways = F.array(F.struct("src", "dst", "w"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("v").alias("w")))
+    return sums.select(F.explode(ways).alias("e")).select("e.src", "e.dst", "e.w").filter((F.col("w") >= least) & (F.col("w") > 0))
 
 
 def shared_sentences(postings: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -113,8 +116,6 @@ def ranked_cooccurrence(edges: DataFrame, patterns: DataFrame, style: str = "cou
     ca, cb = (patterns.select(F.col("pattern").alias(k), F.col("cnt").alias(f"c_{k}")) for k in ("src", "dst"))
     rows = edges.join(ca, "src").join(cb, "dst")
     if style == "npmi":
-        from weftgram.runtime import with_scalars
-
         rows = with_scalars(rows, patterns.agg(F.sum("cnt").alias("occurrences")))
         score = npmi(F.col("w"), F.col("c_src"), F.col("c_dst"), F.col("occurrences"))
     else:
@@ -140,26 +141,17 @@ def instances(skip_postings: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.join(patterns.select(F.col("pattern").alias("instance")), "instance", "left_semi").select("template", "instance")
 
 
-def template_pairs(patterns: DataFrame, gap=P.GAP) -> DataFrame:
-    """``template, instance``: skipgrams and the patterns of the model that fill their gaps.
+def sibling_templates(instance_edges: DataFrame, gap=P.GAP) -> DataFrame:
+    """``template, instance`` among skipgrams that share an n-gram instance.
 
-    Candidates are the patterns with the gap shape punched into them, an equi-join per
-    shape; skipgrams may fill skipgrams.
+    Which skipgrams fill which is an equi-join per gap shape; a pair stays if some n-gram
+    is an instance of both.
     """
-    shape = F.transform("pattern", lambda x: F.when(x == F.lit(gap), 1).otherwise(0))
-    skips = patterns.filter(P.is_skipgram("pattern", gap)).select(F.col("pattern").alias("template"), shape.alias("m"))
-    shapes = skips.select("m", F.size("m").alias("n")).distinct()  # fewer than 2 ** max n
-    punched = patterns.select(F.col("pattern").alias("instance"), F.size("pattern").alias("n")).join(F.broadcast(shapes), "n")
-    punched = punched.select("instance", P.punch("instance", "m", gap).alias("template"))
-    return punched.join(skips.select("template"), "template", "left_semi").filter("template <> instance").select("template", "instance")
-
-
-def sibling_templates(instance_edges: DataFrame, gap=P.GAP) -> DataFrame:
-    """``template, instance`` among skipgrams that share an n-gram instance."""
-    a = instance_edges.select(F.col("template").alias("a"), "instance")
-    b = instance_edges.select(F.col("template").alias("b"), "instance")
-    pairs = a.join(b, "instance").select("a", "b").filter("a <> b").distinct()
-    return pairs.filter(P.template_relation("a", "b", gap) == 1).select(F.col("b").alias("template"), F.col("a").alias("instance"))
+    skips = instance_edges.select(F.col("template").alias("pattern")).distinct()
+    pairs = template_pairs(skips, gap).select("template", F.col("instance").alias("special"))
+    both = pairs.join(instance_edges.select(F.col("template").alias("special"), "instance"), "special")
+    shared = both.join(instance_edges.select("template", "instance"), ["template", "instance"], "left_semi")
+    return shared.select("template", F.col("special").alias("instance")).distinct()
 
 
 def exclusive_counts(postings: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,8 +182,6 @@ def closure(edges: DataFrame, start: DataFrame, max_steps: int | None = None) ->
 
     A limit of steps that leaves nodes out raises an error.
     """
-    from weftgram.runtime import cut_lineage
-
     reached = start.select(F.col("node").alias("start"), F.col("node")).distinct()
     front, out = reached, None
     for taken in itertools.count():

@@ -7,7 +7,7 @@ count each time; an empty corpus gives an empty model.
 The number of occurrences never rises from a pattern to a longer one, so counting
 all windows and keeping the frequent gives what a level-wise search gives. A level
 is first reduced to the windows whose two shorter parts are frequent where the set
-of these is small enough to broadcast (``BROADCAST_PATTERNS``, checked by a count);
+of these is small enough to broadcast (its bytes are added up first);
 beyond that the reduction would move every window twice to save one shuffle, and
 the windows are counted directly.
 """
@@ -21,10 +21,7 @@ from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
 from weftgram.functions.gaps import gap_masks
-from weftgram.runtime import cut_lineage
-
-#: Frequent patterns of one level that are sent to every task, at most.
-BROADCAST_PATTERNS = 500_000
+from weftgram.runtime import cut_lineage, is_small, small
 
 
 @dataclass(frozen=True)
@@ -46,13 +43,12 @@ def counted(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= least)
 
 
-def with_frequent_parts(rows: DataFrame, n: int, shorter: DataFrame, how: str | None) -> DataFrame:
-    """Windows whose first and last n-1 tokens are frequent. ``how``: broadcast or shuffle."""
-    hint = F.broadcast if how == "broadcast" else (lambda d: d)
+def with_frequent_parts(rows: DataFrame, n: int, shorter: DataFrame, broadcast: bool) -> DataFrame:
+    """Windows whose first and last n-1 tokens are frequent."""
     out = rows
     for begin in (0, 1):
         key = shorter.select(F.col("pattern").alias("__part"))
-        out = out.join(hint(key), P.piece("pattern", begin, n - 1) == F.col("__part"), "left_semi")
+        out = out.join(F.broadcast(key) if broadcast else key, P.piece("pattern", begin, n - 1) == F.col("__part"), "left_semi")
     return out
 
 
@@ -65,22 +61,21 @@ def mine_ngrams(corpus: DataFrame, max_n: int, least: int = 2, min_n: int = 1) -
     return union_levels([lv for lv in mine_levels(corpus, max_n, least) if lv[0] >= min_n], corpus)
 
 
-def mine_levels(corpus: DataFrame, max_n: int, least: int) -> list[tuple[int, DataFrame, int]]:
-    """(n, patterns, number of patterns) of each length with a frequent one."""
-    levels: list[tuple[int, DataFrame, int]] = []
+def mine_levels(corpus: DataFrame, max_n: int, least: int) -> list[tuple[int, DataFrame, bool]]:
+    """(n, patterns, whether they can be broadcast) of each length with a frequent one."""
+    levels: list[tuple[int, DataFrame, bool]] = []
     for n in range(1, max_n + 1):
         rows = window_rows(corpus, n)
-        if n > 1 and levels[-1][2] <= BROADCAST_PATTERNS:
-            rows = with_frequent_parts(rows, n, levels[-1][1], "broadcast")
+        if n > 1 and levels[-1][2]:
+            rows = with_frequent_parts(rows, n, levels[-1][1], True)
         level = cut_lineage(counted(rows, least))
-        size = level.count()
-        if size == 0:
+        if level.isEmpty():
             break
-        levels.append((n, level, size))
+        levels.append((n, level, is_small(level.select("pattern"))))
     return levels
 
 
-def union_levels(levels: list[tuple[int, DataFrame, int]], corpus: DataFrame) -> DataFrame:
+def union_levels(levels: list[tuple[int, DataFrame, bool]], corpus: DataFrame) -> DataFrame:
     out = None
     for n, level, _ in levels:
         part = level.select("pattern", F.lit(n).alias("n"), "cnt")
@@ -150,12 +145,12 @@ def prune_skipgrams(contents: DataFrame, t: Thresholds, gap) -> DataFrame:
     must show ``skip_types`` different tokens.
     """
 
-    def enough(rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy("pattern").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"))
-        kept = sums.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types)).select("pattern")
-        return rows.join(kept, "pattern", "left_semi")
-
-    left = cut_lineage(enough(enough(contents).filter(F.col("c") >= t.skip_tokens)))
+    sums = contents.groupBy("pattern").agg(
+        F.sum("c").alias("s"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.when(F.col("c") >= t.skip_tokens, F.col("c"))).alias("s2"), F.count(F.when(F.col("c") >= t.skip_tokens, 1)).alias("k2"),
+    )
+    kept = sums.filter((F.col("s") >= t.tokens) & (F.col("k") >= t.skip_types) & (F.col("s2") >= t.tokens) & (F.col("k2") >= t.skip_types)).select("pattern")
+    left = contents.filter(F.col("c") >= t.skip_tokens).join(kept, "pattern", "left_semi")
     token = left.select("pattern", F.posexplode(F.arrays_zip(F.col("inst").alias("x"), F.col("pattern").alias("y"))).alias("i", "z"))
     shown = token.filter(F.col("z.y") == F.lit(gap)).groupBy("pattern", "i", "z.x").agg(F.lit(1).alias("one"))
     varied = shown.groupBy("pattern", "i").agg(F.count("one").alias("d")).groupBy("pattern").agg(F.min("d").alias("d"))
@@ -197,8 +192,8 @@ def mine(
     for n in range(2, max_n + 1):
         if len(levels) < n - 1:
             break
-        _, shorter, size = levels[n - 2]
-        rows = with_frequent_parts(window_rows(corpus, n), n, shorter, "broadcast" if size <= BROADCAST_PATTERNS else None)
+        _, shorter, broadcast = levels[n - 2]
+        rows = with_frequent_parts(window_rows(corpus, n), n, shorter, broadcast)
         found = skip_contents(rows, n, gap, initial_only, final_only)
         if t.skip_tokens > t.tokens:
             found = with_known_fillers(found, union_levels(levels[: n - 1], corpus), gap, t.skip_tokens)
@@ -229,34 +224,61 @@ def mine_constrained(corpus: DataFrame, reference: DataFrame, max_n: int, least:
     return out
 
 
+def shape(pattern: str, gap) -> F.Column:
+    """1 for a gap, 0 for a token."""
+    return F.transform(pattern, lambda x: F.when(x == F.lit(gap), 1).otherwise(0))
+
+
 def find_skipgrams(corpus: DataFrame, reference: DataFrame, max_n: int, gap=P.GAP) -> DataFrame | None:
-    """``pattern, sid, pos`` of the reference's skipgrams in a corpus.
+    """``pattern, sid, pos`` of the reference's skipgrams in a corpus, whatever fills their gaps.
 
-    Only the gap shapes that the reference has are tried, not every configuration.
+    Only the gap shapes that the reference has are tried, and of a shape only the windows
+    whose first run of tokens begins some skipgram of that shape.
     """
-    skips = reference.filter(P.is_skipgram("pattern", gap) & (F.size("pattern") <= max_n))
-    shapes = skips.select(F.transform("pattern", lambda x: F.when(x == F.lit(gap), 1).otherwise(0)).alias("m")).distinct()
-    rows = shapes.collect()  # shapes of up to max_n positions: fewer than 2 ** max_n
+    skips = reference.filter(P.is_skipgram("pattern", gap) & (F.size("pattern") <= max_n)).select("pattern")
+    first = F.get(P.parts("pattern", gap), F.lit(0))
+    begun = cut_lineage(skips.select(shape("pattern", gap).alias("m"), first.alias("part")).distinct())
+    masks: dict[int, list[tuple[int, ...]]] = {}
+    for r in begun.select("m").distinct().collect():  # shapes of up to max_n positions: fewer than 2 ** max_n
+        masks.setdefault(len(r["m"]), []).append(tuple(r["m"]))
+    begun = small(begun)
     out = None
-    by_n: dict[int, list] = {}
-    for r in rows:
-        by_n.setdefault(len(r["m"]), []).append(r["m"])
-    for n, masks in sorted(by_n.items()):
-        literal = F.array(*(F.array(*map(F.lit, m)) for m in sorted(masks)))
-        punched = window_rows(corpus, n).select("sid", "pos", F.explode(literal).alias("m"), F.col("pattern").alias("inst"))
-        found = punched.select(P.punch("inst", "m", gap).alias("pattern"), "sid", "pos").join(skips.select("pattern"), "pattern", "left_semi")
+    for n, of_n in sorted(masks.items()):
+        runs = [(m, m.index(0), ([*m, 1].index(1, m.index(0)) - m.index(0))) for m in sorted(of_n)]
+        literal = F.array(*(F.struct(F.array(*map(F.lit, m)).alias("m"), F.lit(at).alias("at"), F.lit(k).alias("k")) for m, at, k in runs))
+        tried = window_rows(corpus, n).select("sid", "pos", F.explode(literal).alias("x"), F.col("pattern").alias("inst"))
+        tried = tried.select("sid", "pos", "inst", "x.m", F.slice("inst", F.col("x.at") + 1, F.col("x.k")).alias("part"))
+        punched = tried.join(begun, ["m", "part"], "left_semi").select(P.punch("inst", "m", gap).alias("pattern"), "sid", "pos")
+        found = punched.join(skips, "pattern", "left_semi")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def template_pairs(patterns: DataFrame, gap=P.GAP) -> DataFrame:
+    """``template, instance``: skipgrams and the patterns of the model that fill their gaps.
+
+    Candidates are the patterns with the gap shape punched into them, an equi-join per
+    shape; skipgrams may fill skipgrams.
+    """
+    skips = patterns.filter(P.is_skipgram("pattern", gap)).select(F.col("pattern").alias("template"), shape("pattern", gap).alias("m"))
+    shapes = skips.select("m", F.size("m").alias("n")).distinct()  # fewer than 2 ** max n
+    punched = patterns.select(F.col("pattern").alias("instance"), F.size("pattern").alias("n")).join(F.broadcast(shapes), "n")
+    punched = punched.select("instance", P.punch("instance", "m", gap).alias("template"))
+    return punched.join(skips.select("template"), "template", "left_semi").filter("template <> instance").select("template", "instance")
+
+
 def find_patterns(corpus: DataFrame, model: DataFrame, min_n: int = 1, max_n: int = 9, gap=P.GAP) -> DataFrame:
-    """``sid, pos, pattern, n``: every known pattern in a text, skipgrams included."""
+    """``sid, pos, pattern, n``: every known pattern in a text, skipgrams included.
+
+    A skipgram is found where a known n-gram fills it, so which n-grams do is settled once
+    on the model, and the text's windows only meet the model's n-grams.
+    """
     sized = model.filter(F.size("pattern").between(min_n, max_n)).select("pattern")
-    out = postings(corpus, sized.filter(~P.is_skipgram("pattern", gap)), max_n, min_n).select("sid", "pos", "pattern", "n")
-    skips = find_skipgrams(corpus, sized, max_n, gap)
-    if skips is not None:
-        out = out.unionByName(skips.select("sid", "pos", "pattern", F.size("pattern").alias("n")))
-    return out
+    found = postings(corpus, sized.filter(~P.is_skipgram("pattern", gap)), max_n, min_n)
+    pairs = template_pairs(sized, gap).filter(~P.is_skipgram("instance", gap))
+    skips = found.withColumnRenamed("pattern", "instance").join(pairs, "instance")
+    columns = ["sid", "pos", "pattern", "n"]
+    return found.select(*columns).unionByName(skips.withColumnRenamed("template", "pattern").select(*columns))
 
 
 def skip_entropy(contents: DataFrame) -> DataFrame:

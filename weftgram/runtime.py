@@ -56,6 +56,21 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     return joined.select(*df.columns, (F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
+#: Text of a frame, in bytes, up to which it is sent to every task.
+BROADCAST_BYTES = 24 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a written frame is small enough to be sent to every task: its size is added up, not guessed."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16 * len(df.columns)))
+    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, with a broadcast hint if it ``is_small``; beyond that it is joined by shuffle."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a frame read from a few large row groups one task per core.
 
