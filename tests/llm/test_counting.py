@@ -1,9 +1,14 @@
 import itertools
 import math
 import random
+import subprocess
+import sys
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from weftgram.llm import cooccur, frequent, termcounts, topn
@@ -28,6 +33,13 @@ def test_frequent_empty_and_extra_columns(spark):
     assert frequent.frequent_values(ties, "v", ["sid", "pos"], 0.5).count() == 2
 
 
+def test_many_heavy_buckets(spark, monkeypatch):
+    monkeypatch.setattr(frequent, "LISTED", 2)
+    df = spark.createDataFrame([(v, i) for v in range(20) for i in range(5)] + [(100, 1)], "v bigint, sid bigint")
+    got = {r["v"]: r["n_refs"] for r in frequent.frequent_values(df, "v", ["sid"], 0.04).collect()}
+    assert got == {v: 5 for v in range(20)} and frequent.buckets_for(1e-5) == 1 << 21 and frequent.buckets_for(0.5) == 4096
+
+
 def brute_top(data, n):
     best = {}
     for g, t, s in data:
@@ -50,6 +62,39 @@ def test_top_n(spark, parts):
     assert got == brute_top(data, 3)
 
 
+def test_many_groups_in_bounded_state(monkeypatch):
+    """Whatever number of groups a partition has, few rows are held, and the bounds stay true."""
+    monkeypatch.setattr(topn, "STATE_ROWS", 1000)
+    rng = np.random.default_rng(3)
+    groups = rng.integers(0, 5000, 60_000)
+    rows = pd.DataFrame({"g": [f"g{g}" for g in groups], "item": [f"t{i}" for i in rng.integers(0, 400, 60_000)], "score": rng.integers(0, 50, 60_000) / 50})
+    out = list(topn.local_candidates(3)(rows.iloc[i : i + 3000] for i in range(0, 60_000, 3000)))
+    assert max(map(len, out)) <= 2000 and len(out) > 10
+    got = pd.concat(out)
+    true = topn._best(rows, 3)
+    third = true.groupby("g").nth(2).set_index("g").score
+    bounds = got[got.bound].groupby("g").score.max()
+    assert (bounds <= third.reindex(bounds.index)).all()
+    assert set(true.itertuples(index=False, name=None)) <= set(got[["g", "item", "score"]].itertuples(index=False, name=None))
+
+
+def test_two_million_groups_in_one_partition():
+    """One partition of 2,000,000 groups stays under 1 GB, checked in a process of its own."""
+    code = """
+import resource, pandas as pd, numpy as np
+from weftgram.llm import topn
+def batches():
+    for lo in range(0, 2_000_000, 10_000):
+        g = pd.Series(np.arange(lo, lo + 10_000)).astype(str)
+        yield pd.DataFrame({"g": g, "item": "item " + g, "score": 0.5})
+n = sum(map(len, topn.local_candidates(3)(batches())))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    n, megabytes = map(int, out.stdout.split())
+    assert n == 2_000_000 and megabytes < 1000
+
+
 def test_top_n_empty(spark):
     df = spark.createDataFrame([], "s string, t string, score double, g int, bound int")
     assert topn.top_n(df, "s", "t", "score", 3).count() == 0
@@ -86,6 +131,54 @@ def test_pairs(spark, giant, monkeypatch):
     assert cooccur.cooccurring_pairs(df.limit(0), "i", "s", 10).count() == 0
 
 
+def test_pooled_null_is_quick_and_near():
+    """5,000 item classes by 3,000 basket classes, against the fit on all of them for some."""
+    degrees, n = np.arange(1.0, 5001), np.maximum(1, 1e7 / np.arange(1.0, 5001) ** 2)
+    sizes = np.arange(1.0, 3001)
+    m = np.maximum(1, 1e6 / sizes**1.5)
+    m *= (degrees * n).sum() / (sizes * m).sum()
+    began = time.time()
+    pooled_sizes, copies = cooccur.pooled(sizes, m)
+    assert len(copies) <= 256 and copies.sum() == pytest.approx(m.sum()) and (copies * pooled_sizes).sum() == pytest.approx((m * sizes).sum())
+    _, y = cooccur.fit_null(*cooccur.pooled(degrees, n), pooled_sizes, copies)
+    x = cooccur.fitness(degrees, y, copies)
+    assert time.time() - began < 10
+    expected = (copies * x[:, None] * y / (1 + x[:, None] * y)).sum(1)
+    assert np.allclose(expected, degrees, rtol=1e-6)
+
+
+def test_surprise_against_exact_tails(spark):
+    """Expected counts and tails of pairs against the sum over all baskets of the fitted null."""
+    df = spark.createDataFrame(baskets(11), "i bigint, s bigint")
+    held = {}
+    for i, s in set(baskets(11)):
+        if i is not None and s is not None:
+            held.setdefault(s, set()).add(i)
+    sizes = Counter(len(x) for x in held.values())
+    single = Counter(i for x in held.values() for i in x)
+    degrees = Counter(single.values())
+    d, k = sorted(degrees), sorted(sizes)
+    x, y = cooccur.fit_null(np.array(d, float), np.array([degrees[v] for v in d], float), np.array(k, float), np.array([sizes[v] for v in k], float))
+    of = dict(zip(d, x, strict=True))
+    for r in cooccur.cooccurring_pairs(df, "i", "s", 10).collect()[:20]:
+        q = [of[r["n_a"]] * yy / (1 + of[r["n_a"]] * yy) * of[r["n_b"]] * yy / (1 + of[r["n_b"]] * yy) for yy, kk in zip(y, k, strict=True) for _ in range(sizes[kk])]
+        assert r["expected"] == pytest.approx(sum(q), rel=1e-3)
+        dist = np.array([1.0])
+        for p in q:
+            dist = np.convolve(dist, [1 - p, p])
+        if r["n_ab"] > sum(q):
+            exact = math.log(dist[r["n_ab"] :].sum())
+            assert r["ln_p"] == pytest.approx(exact, abs=0.06 + 0.02 * abs(exact))
+
+
+def test_large_baskets_in_blocks(spark, monkeypatch):
+    """More large baskets than the least count: the rest is paired in blocks, with the same counts."""
+    monkeypatch.setattr(cooccur, "GIANT", 7)
+    data = [(i, s) for s in range(14) for i in range(1, 31) if (i * 7 + s) % 5]
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in cooccur.cooccurring_pairs(spark.createDataFrame(data, "i bigint, s bigint"), "i", "s", 8).collect()}
+    assert got == brute_pairs(data, 8, 0) and got
+
+
 def test_null_keeps_degrees():
     degrees, n = np.array([1.0, 3.0, 20.0]), np.array([30.0, 10.0, 2.0])
     sizes, m = np.array([1.0, 4.0]), np.array([20.0, 20.0])

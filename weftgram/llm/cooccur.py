@@ -9,9 +9,12 @@ possible pairs gives the surprise.
 
 Scale: an item outside ``min_count .. N / min_lift`` baskets cannot be in any
 result pair, so it is left out before pairs are formed. The up to
-``min_count - 1`` baskets with more than ``GIANT`` items form no pairs either:
+``min_count - 1`` largest baskets of more than ``GIANT`` items form no pairs either:
 a pair needs some other basket as well, so its count without them decides which
-pairs are looked up in them. Baskets beyond those are paired as they are.
+pairs are looked up in them. Further baskets of that size are cut into blocks of
+about ``GIANT`` items, and pairs of blocks are dealt over all tasks. The null is fitted
+on at most ``FIT_CLASSES`` classes of either side; a tail is computed once for all
+pairs of one batch with the same classes and count.
 
 Edge cases: rows with a null item or basket take no part; repeated (item, basket)
 rows count once; an empty table gives an empty frame; further columns are
@@ -29,8 +32,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgram.runtime import cut_lineage, small
+
 #: Items above which a basket counts as giant.
 GIANT = 2000
+#: Classes of basket sizes, and of item counts, on which the null is fitted.
+FIT_CLASSES = 256
 #: Width, in ln p, of the bins in which p-values are ranked; q-values are rounded up to a bin.
 LN_BIN, LN_BINS = 0.02, 200_000
 
@@ -55,6 +62,35 @@ def fit_null(degrees: np.ndarray, n_items: np.ndarray, sizes: np.ndarray, n_bask
     return x, y
 
 
+def pooled(values: np.ndarray, n: np.ndarray, most: int = FIT_CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Mean value and number of at most ``most`` classes of ascending values.
+
+    Small values keep classes of their own, larger ones share classes of equal ratio.
+    """
+    values, n = np.asarray(values, float), np.asarray(n, float)
+    if len(values) <= most:
+        return values, n
+    own = most // 2
+    top = np.log(values[-1] / values[own])
+    cls = np.where(np.arange(len(values)) < own, np.arange(len(values)), own + np.minimum((np.log(np.maximum(values, values[own]) / values[own]) / top * (most - own)).astype(int), most - own - 1))
+    _, cls = np.unique(cls, return_inverse=True)
+    count = np.bincount(cls, n)
+    return np.bincount(cls, n * values) / count, count
+
+
+def fitness(degrees: np.ndarray, y: np.ndarray, n_baskets: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The x of every degree that gives its expected number of baskets, the y being fixed; by Newton steps on ln x."""
+    degrees = np.minimum(np.asarray(degrees, float), n_baskets.sum() * (1 - 1e-9))
+    u = np.log(degrees / (n_baskets * y).sum())
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(u[:, None] + np.log(y), -700, 700)))
+        step = np.clip(((n_baskets * p).sum(1) - degrees) / np.maximum((n_baskets * p * (1 - p)).sum(1), 1e-300), -2, 2)
+        u = u - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return np.exp(u)
+
+
 def upper_tail_ln(q: np.ndarray, copies: np.ndarray, count: np.ndarray) -> np.ndarray:
     """ln P(X >= count) for X the sum of ``copies[k]`` Bernoulli(q[i, k]) over k."""
     mean = (copies * q).sum(1)
@@ -112,8 +148,10 @@ def cooccurring_pairs(df: DataFrame, item: str, basket: str, min_count: int, min
     schema = "item_a bigint, item_b bigint, n_ab bigint, n_a bigint, n_b bigint, n_baskets bigint, lift double, expected double, ln_p double"
     if n_baskets == 0:
         return df.sparkSession.createDataFrame([], schema + ", ln_q double")
-    copies = basket_classes.n.to_numpy(float)
-    x, y = fit_null((item_classes.total / item_classes.n).to_numpy(float), item_classes.n.to_numpy(float), (basket_classes.total / basket_classes.n).to_numpy(float), copies)
+    mean = lambda c: (c.total / c.n).to_numpy(float)
+    sizes_of, copies = pooled(mean(basket_classes), basket_classes.n)
+    _, y = fit_null(*pooled(mean(item_classes), item_classes.n), sizes_of, copies)
+    x = fitness(mean(item_classes), y, copies)
     cls = item_classes.cls.to_numpy()
 
     kept_items = items.filter((F.col("c") >= min_count) & (F.col("c") * F.lit(min_lift) <= F.lit(n_baskets)))
@@ -123,10 +161,19 @@ def cooccurring_pairs(df: DataFrame, item: str, basket: str, min_count: int, min
         largest = kept.groupBy("s").count().filter(F.col("count") > GIANT).orderBy(F.desc("count"), "s").limit(min_count - 1)
         giants = [r["s"] for r in largest.collect()]  # under min_count rows
     usual = kept.filter(~F.col("s").isin(giants)) if giants else kept
-    lists = usual.groupBy("s").agg(F.sort_array(F.collect_list("i")).alias("l"))
+    large = cut_lineage(usual.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / GIANT).cast("int").alias("nb")).filter("nb > 1"))
+    parts = usual.join(small(large), "s", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int"))
+    lists = parts.groupBy("s", "block").agg(F.sort_array(F.collect_list("i")).alias("l"), F.first("nb").alias("nb"))
     first = lists.select("l", F.posexplode("l").alias("at", "a"))
-    # the items after a in its own basket
+    # the items after a in its own basket, or its block of one
     pairs = first.select("a", F.explode(F.slice("l", F.col("at") + 2, F.size("l"))).alias("b"))
+    if not large.isEmpty():
+        cut = lists.filter("nb > 1")
+        further = cut.filter(F.col("block") + 1 < F.col("nb")).select("s", F.col("l").alias("x"), F.explode(F.sequence(F.col("block") + 1, F.col("nb") - 1)).alias("block"))
+        across = further.join(cut.select("s", "block", F.col("l").alias("y")), ["s", "block"])
+        across = across.select("y", F.explode("x").alias("u")).select("u", F.explode("y").alias("v"))
+        pairs = pairs.unionByName(across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count - len(giants))
     if giants:
         bit = F.aggregate(F.array(*map(F.lit, giants)), F.struct(F.lit(0).alias("m"), F.lit(1).alias("p")), lambda acc, g: F.struct(F.when(F.col("s") == g, acc["p"]).otherwise(acc["m"]).alias("m"), (acc["p"] * 2).alias("p")))["m"]
@@ -145,18 +192,22 @@ def cooccurring_pairs(df: DataFrame, item: str, basket: str, min_count: int, min
             if rows.empty:
                 continue
             out = rows.assign(n_baskets=n_baskets, lift=rows.n_ab * n_baskets / (rows.n_a.astype(float) * rows.n_b))
-            expected, ln_p = np.zeros(len(rows)), np.zeros(len(rows))
+            at = [np.searchsorted(cls, rows[c].to_numpy(), "right") - 1 for c in ("n_a", "n_b")]
+            same, back = np.unique(np.stack([np.minimum(*at), np.maximum(*at), rows.n_ab.to_numpy()]), axis=1, return_inverse=True)
+            expected, ln_p = np.zeros(same.shape[1]), np.zeros(same.shape[1])
             step = max(1, 4_000_000 // len(y))
-            for lo in range(0, len(rows), step):
-                part = rows.iloc[lo : lo + step]
-                fit = [x[np.searchsorted(cls, part[c].to_numpy(), "right") - 1][:, None] * y for c in ("n_a", "n_b")]
+            for lo in range(0, same.shape[1], step):
+                part = same[:, lo : lo + step]
+                fit = [x[part[k]][:, None] * y for k in (0, 1)]
                 q = (fit[0] / (1 + fit[0])) * (fit[1] / (1 + fit[1]))
                 expected[lo : lo + step] = (copies * q).sum(1)
-                ln_p[lo : lo + step] = upper_tail_ln(q, copies, part.n_ab.to_numpy())
+                ln_p[lo : lo + step] = upper_tail_ln(q, copies, part[2])
+            expected, ln_p = expected[back.ravel()], ln_p[back.ravel()]
             yield out.assign(expected=expected, ln_p=ln_p)[["item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", "lift", "expected", "ln_p"]]
 
     tested = sized.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab", "n_a", "n_b").mapInPandas(against_null, schema)
-    tested = tested.persist(StorageLevel.MEMORY_AND_DISK)
+    tested = cut_lineage(tested)
+    held.unpersist()
     return with_q_values(tested, n_items * (n_items - 1) / 2)
 
 

@@ -12,13 +12,23 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash functions, and buckets of each: HASHES * BUCKETS counters in all.
+from weftgram.runtime import cut_lineage
+
+#: Hash functions, and the fewest buckets of each.
 HASHES, BUCKETS = 3, 4096
+#: Buckets of a hash that are tested by a list in the plan; more are joined.
+LISTED = 4096
+
+
+def buckets_for(share: float) -> int:
+    """Sixteen buckets for every value that can reach the share, so that most buckets stay below it."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(16 / share)))
 
 
 def _bucket(value: str, seed: int, buckets: int) -> Column:
@@ -26,24 +36,33 @@ def _bucket(value: str, seed: int, buckets: int) -> Column:
 
 
 def frequent_values(
-    df: DataFrame, value: str, ref: list[str], share: float, hashes: int = HASHES, buckets: int = BUCKETS
+    df: DataFrame, value: str, ref: list[str], share: float, hashes: int = HASHES, buckets: int | None = None
 ) -> DataFrame:
     """``value, n_refs, n_total``: values with at least ``share`` of all distinct refs.
 
-    At most 1 / share buckets of a hash reach the threshold, so the list sent to
-    the second pass has a fixed bound.
+    At most 1 / share buckets of a hash reach the threshold, so what is sent to
+    the second pass has a fixed bound, as have the counters.
     """
+    buckets = buckets or buckets_for(share)
     rows = df.select(value, *ref).dropna()
     refs = rows.distinct()
     numbered = F.explode(F.array(*(F.lit(h * buckets) + _bucket(value, h, buckets) for h in range(hashes))))
-    coarse = refs.select(numbered.alias("b")).groupBy("b").count().collect()  # at most hashes * buckets rows
-    total = sum(r["count"] for r in coarse) // hashes
+    coarse = cut_lineage(refs.select(numbered.alias("b")).groupBy("b").count())  # at most hashes * buckets rows
+    total = (coarse.agg(F.sum("count")).first()[0] or 0) // hashes
     # the share as a fraction, so that a count just at the threshold is kept
     part = Fraction(str(share))
     least = -(-total * part.numerator // part.denominator)
-    heavy = [[r["b"] - h * buckets for r in coarse if r["b"] // buckets == h and r["count"] >= least] for h in range(hashes)]
+    reached = coarse.filter(F.col("count") >= F.lit(least)).select("b")
+    heavy: list[list[int]] = [[] for _ in range(hashes)]
+    for r in reached.collect():  # at most hashes / share rows
+        heavy[r["b"] // buckets].append(r["b"] % buckets)
     survivors = rows
     for h in range(hashes):
-        survivors = survivors.filter(_bucket(value, h, buckets).isin(heavy[h]) if heavy[h] else F.lit(False))
+        bucket = _bucket(value, h, buckets)
+        if len(heavy[h]) <= LISTED:
+            survivors = survivors.filter(bucket.isin(heavy[h]) if heavy[h] else F.lit(False))
+        else:
+            of_hash = reached.filter(F.floor(F.col("b") / buckets) == h).select((F.col("b") % buckets).alias("__bucket"))
+            survivors = survivors.join(F.broadcast(of_hash), bucket == F.col("__bucket"), "left_semi")
     exact = survivors.distinct().groupBy(value).agg(F.count(F.lit(1)).alias("n_refs"))
     return exact.filter(F.col("n_refs") >= F.lit(least)).withColumn("n_total", F.lit(total).cast("bigint"))

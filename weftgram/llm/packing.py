@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgram.runtime import cut_lineage
+
 #: Documents of one length ranked in one sort; larger lengths are dealt over several.
 RANK_ROWS = 1 << 20
 #: Parts in which documents beyond a capacity are numbered.
@@ -144,7 +145,8 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """
     spark = sizes.sparkSession
     schema = "pack_id int, capacity int, container bigint, doc_id bigint, token_from bigint, n_tokens int, at int"
-    held = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n")).filter("n > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    held = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n")).filter("n > 0")
+    held = cut_lineage(held)  # two numbers a document, read again for every capacity
     out = spark.createDataFrame([], schema)
     for pack_id, capacity in capacities:
         rest = F.col("n") % capacity

@@ -28,6 +28,8 @@ _SPACE = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+"
 #: Pieces up to so many characters are kept, up to so many of them.
 MEMO_CHARS, MEMO_PIECES = 48, 1 << 17
+#: Ids after which an output batch is closed.
+BATCH_IDS = 1 << 21
 
 _NONE = 1 << 62
 
@@ -130,12 +132,18 @@ def encode_texts(df: DataFrame, rank_path: str, doc_id: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(rank_file)
         for batch in batches:
-            lists = [encoder.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            begin, lists, held = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                lists.append(encoder.encode(text.as_py()) if text.is_valid else [])
+                held += len(lists[-1])
+                # long texts leave in batches of their own
+                if held >= BATCH_IDS or i + 1 == batch.num_rows:
+                    offsets = np.zeros(len(lists) + 1, np.int32)
+                    np.cumsum([len(x) for x in lists], out=offsets[1:])
+                    flat = np.fromiter((t for x in lists for t in x), np.int32, held)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(lists)), ids], names=["doc_id", "ids"])
+                    begin, lists, held = i + 1, [], 0
 
     rows = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
