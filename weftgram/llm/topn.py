@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgram.runtime import cut_lineage, small
+
 
 #: Rows that a partition holds before it hands them on with the bounds they give.
 STATE_ROWS = 1 << 18
@@ -65,12 +67,11 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("item"), F.col(score).cast("double").alias("score"))
     rows = rows.filter("g IS NOT NULL AND item IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
     local = rows.mapInPandas(local_candidates(n), "g string, item string, score double, bound boolean")
-    # one exchange by group serves the bounds, the join with them, and the ranking
-    by_group = local.repartition("g")
+    local = cut_lineage(local)  # read twice: for the bounds, and to be held against them
     order = F.struct((-F.col("score")).alias("down"), "item")
     # the greatest bound of a group, and of equal scores the one with the least item
-    bounds = by_group.filter("bound").groupBy("g").agg(F.min(order).alias("b"))
-    above = by_group.join(bounds, "g", "left").filter(F.col("b").isNull() | F.col("bound") | (order <= F.col("b")))
+    bounds = cut_lineage(local.filter("bound").groupBy("g").agg(F.min(order).alias("b")))
+    above = local.join(small(bounds), "g", "left").filter(F.col("b").isNull() | (order <= F.col("b")))
     best = above.groupBy("g", "item").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "item")))
     return ranked.filter(F.col("rank") <= n).select(F.col("g").alias(group), F.col("item").alias(item), F.col("score").alias(score), "rank")
