@@ -145,6 +145,21 @@ def instantiate(skipgram: Column | str, content: Column | str, gap=GAP) -> Colum
     return F.transform(skipgram, lambda x, i: F.when(x == F.lit(gap), F.get(content, i - first)).otherwise(x))
 
 
+def skipgram_of(parts_: Column | str, gaps: Column | str, begins_with_gap: Column | bool, gap=GAP) -> Column:
+    """The skipgram of given parts and gap sizes, one after the other in turn.
+
+    Null where they cannot alternate: there must be as many of both, or one more of what
+    comes first, and no part or gap may be empty.
+    """
+    parts_, gaps = col(parts_), col(gaps)
+    first = begins_with_gap if isinstance(begins_with_gap, Column) else F.lit(begins_with_gap)
+    blanks = F.transform(gaps, lambda k: F.array_repeat(F.lit(gap), k))
+    ahead, behind = F.when(first, blanks).otherwise(parts_), F.when(first, parts_).otherwise(blanks)
+    woven = F.flatten(F.transform(ahead, lambda x, i: F.when(i < F.size(behind), F.concat(x, F.get(behind, i))).otherwise(x)))
+    fits = (F.size(ahead) - F.size(behind)).between(0, 1) & F.forall(gaps, lambda k: k > 0) & F.forall(parts_, lambda p: F.size(p) > 0)
+    return F.when(fits, woven)
+
+
 def template_relation(a: Column | str, b: Column | str, gap=GAP) -> Column:
     """1 if a is an instance of template b, -1 the other way round, else 0."""
     a, b = col(a), col(b)

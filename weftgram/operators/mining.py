@@ -263,6 +263,8 @@ def template_pairs(patterns: DataFrame, gap=P.GAP) -> DataFrame:
     skips = patterns.filter(P.is_skipgram("pattern", gap)).select(F.col("pattern").alias("template"), shape("pattern", gap).alias("m"))
     shapes = skips.select("m", F.size("m").alias("n")).distinct()  # fewer than 2 ** max n
     punched = patterns.select(F.col("pattern").alias("instance"), F.size("pattern").alias("n")).join(F.broadcast(shapes), "n")
+    # a shape that leaves a gap of the instance out would only give what a wider one does
+    punched = punched.filter(F.forall(F.zip_with("instance", "m", lambda x, m: (x != F.lit(gap)) | (m == 1)), lambda t: t))
     punched = punched.select("instance", P.punch("instance", "m", gap).alias("template"))
     return punched.join(skips.select("template"), "template", "left_semi").filter("template <> instance").select("template", "instance")
 

@@ -84,35 +84,35 @@ def ngram_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_mode(spark: SparkSession, sf: str) -> DataFrame:
-    """Patterns of prose as they are found in the notes."""
-    prose, notes = sentences(spark, sf, "kind = 'prose'"), sentences(spark, sf, "kind = 'note'")
+    """Patterns of prose as they are found in all other documents."""
+    prose, rest = sentences(spark, sf, "kind = 'prose'"), sentences(spark, sf, "kind IS DISTINCT FROM 'prose'")
     model = mining.count_ngrams(prose, 3, 2)
-    found = mining.postings(notes, model, 3).select("sid", "pos", "pattern")
+    found = mining.postings(rest, model, 3).select("sid", "pos", "pattern")
     rows = reports.query_mode(found, model, reports.corpus_tokens(prose))
     return rows.select("sid", "pos", text().alias("text"), "cnt", F.round("coverage", 10).alias("coverage"))
 
 
 def constrained_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts in the notes of the patterns that the prose model has."""
+    """Counts in all other documents of the patterns that the prose model has."""
     model = mining.count_ngrams(sentences(spark, sf, "kind = 'prose'"), 3, 2)
-    return mining.mine_constrained(sentences(spark, sf, "kind = 'note'"), model, 3, gap=GAP).select(text().alias("text"), "n", "cnt")
+    return mining.mine_constrained(sentences(spark, sf, "kind IS DISTINCT FROM 'prose'"), model, 3, gap=GAP).select(text().alias("text"), "n", "cnt")
 
 
 def joint_listing(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _model(spark, sf, 2, 2, "kind = 'prose'"), _model(spark, sf, 2, 1, "kind = 'note'")
+    train, test = _model(spark, sf, 2, 2, "kind = 'prose'"), _model(spark, sf, 2, 1, "kind IS DISTINCT FROM 'prose'")
     return reports.joint_listing(train, test).select(text().alias("text"), "n", "cnt_train", "cnt_test")
 
 
 def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
-    notes = sentences(spark, sf, "kind = 'note'")
+    rest = sentences(spark, sf, "kind IS DISTINCT FROM 'prose'")
     model = mining.count_ngrams(sentences(spark, sf, "kind = 'prose'"), 3, 2)
-    return reports.coverage(notes, mining.postings(notes, model, 3), gap=GAP)
+    return reports.coverage(rest, mining.postings(rest, model, 3), gap=GAP)
 
 
 def coverage_by_length(spark: SparkSession, sf: str) -> DataFrame:
-    notes = sentences(spark, sf, "kind = 'note'")
+    rest = sentences(spark, sf, "kind IS DISTINCT FROM 'prose'")
     model = mining.count_ngrams(sentences(spark, sf, "kind = 'prose'"), 3, 2)
-    rows = reports.coverage_by_length(notes, mining.postings(notes, model, 3), gap=GAP)
+    rows = reports.coverage_by_length(rest, mining.postings(rest, model, 3), gap=GAP)
     return rows.select("n", "types", "occurrences", "covered", F.round("coverage", 10).alias("coverage"), F.round("ttr", 10).alias("ttr"))
 
 
@@ -135,8 +135,8 @@ def skipgram_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Every word of the notes with its neighbours, padded by begin and end marks."""
-    rows = sentences(spark, sf, "kind = 'note'").select("sid", "tokens", F.posexplode("tokens").alias("pos", "word"))
+    """Every word with its neighbours, padded by begin and end marks."""
+    rows = sentences(spark, sf).select("sid", "tokens", F.posexplode("tokens").alias("pos", "word"))
     context = P.with_context("tokens", F.col("pos"), F.lit(1), 2, 2, "{BEGIN}", "{END}")
     return rows.select("sid", "pos", F.array_join(context, " ").alias("context"))
 
@@ -181,9 +181,9 @@ def _counted(name: str, grams: str, least: int) -> str:
 
 
 _MODEL = f"{SENT}, {_grams('g', 3)}, {_counted('m', 'g', 2)}, total AS (SELECT sum(len(toks)) AS tokens FROM s)"
-_PROSE = f"""{SENT}, {_grams('g', 3, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 3, "kind = 'note'")},
+_PROSE = f"""{SENT}, {_grams('g', 3, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 3, "kind IS DISTINCT FROM 'prose'")},
   found AS (SELECT t.sid, t.pos, t.n, t.text, m.cnt FROM t JOIN m ON t.text = m.text AND t.n = m.n),
-  span AS (SELECT sid, n, text, unnest(range(pos, pos + n)) AS tk FROM found), tt AS (SELECT sum(len(toks)) AS tokens FROM s WHERE kind = 'note')"""
+  span AS (SELECT sid, n, text, unnest(range(pos, pos + n)) AS tk FROM found), tt AS (SELECT sum(len(toks)) AS tokens FROM s WHERE kind IS DISTINCT FROM 'prose')"""
 
 _SKIP = f"""{SENT}, {_grams('g', 2)}, {_counted('known', 'g', 10)},
   w2 AS (SELECT sid, pos, toks[pos + 1:pos + 2] AS inst, 2 AS n FROM (SELECT sid, toks, unnest(range(0, len(toks) - 1)) AS pos FROM s)),
@@ -217,7 +217,7 @@ ORACLE = {
     "ngram_postings": f"WITH {SENT}, {_grams('g', 3)}, {_counted('m', 'g', 10)} SELECT g.text, g.n, sid, pos FROM g JOIN m ON g.text = m.text AND g.n = m.n",
     "query_mode": f"WITH {_PROSE}, p AS (SELECT sum(len(toks)) AS tokens FROM s WHERE kind = 'prose') SELECT sid, pos, text, cnt, round(cnt * n / (SELECT tokens FROM p), 10) AS coverage FROM found",
     "constrained_counts": f"WITH {_PROSE} SELECT text, n, count(*) AS cnt FROM found GROUP BY text, n",
-    "joint_listing": f"""WITH {SENT}, {_grams('g', 2, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 2, "kind = 'note'")}, {_counted('o', 't', 1)}
+    "joint_listing": f"""WITH {SENT}, {_grams('g', 2, "kind = 'prose'")}, {_counted('m', 'g', 2)}, {_grams('t', 2, "kind IS DISTINCT FROM 'prose'")}, {_counted('o', 't', 1)}
       SELECT m.text, m.n, m.cnt AS cnt_train, coalesce(o.cnt, 0) AS cnt_test FROM m LEFT JOIN o ON m.text = o.text AND m.n = o.n""",
     "coverage_report": f"""WITH {_PROSE}, c AS (SELECT count(DISTINCT (sid, tk)) AS covered FROM span) SELECT CAST(tokens AS BIGINT) AS tokens, covered, CAST(0 AS BIGINT) AS encapsulated,
       CAST(tokens - covered AS BIGINT) AS uncovered, CAST(tokens - covered AS BIGINT) AS outside FROM c, tt""",
@@ -227,7 +227,7 @@ ORACLE = {
     "skipgram_entropy": f"""WITH {_SKIP}, p AS (SELECT text, c, c / sum(c) OVER (PARTITION BY text) AS p FROM kept)
       SELECT text, CAST(sum(c) AS BIGINT) AS cnt, count(*) AS skip_types, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY text""",
     "skipgram_content": f"WITH {_SKIP} SELECT text, content, CAST(sum(c) AS BIGINT) AS cnt FROM kept GROUP BY text, content",
-    "context_features": f"""WITH {SENT}, n AS (SELECT sid, toks, list_concat(list_concat(['{{BEGIN}}', '{{BEGIN}}'], toks), ['{{END}}', '{{END}}']) AS pad FROM s WHERE kind = 'note'),
+    "context_features": f"""WITH {SENT}, n AS (SELECT sid, toks, list_concat(list_concat(['{{BEGIN}}', '{{BEGIN}}'], toks), ['{{END}}', '{{END}}']) AS pad FROM s),
       p AS (SELECT sid, pad, unnest(range(0, len(toks))) AS pos FROM n) SELECT sid, pos, array_to_string(pad[pos + 1:pos + 5], ' ') AS context FROM p""",
     "subngram_counts": f"""WITH {SENT}, {_grams('g', 3, min_n=3)}, {_counted('m', 'g', 5)} SELECT text, 5 AS n_sub,
       split_part(text, ' ', 1) || ' | ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) || ' ; ' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' | ' || split_part(text, ' ', 3) AS splits FROM m""",

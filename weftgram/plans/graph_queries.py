@@ -85,10 +85,6 @@ def pair_pmi(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(text("a"), text("b"), "joint", F.round(pmi, 8).alias("pmi"), F.round(npmi, 8).alias("npmi"))
 
 
-def rel_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.template_pairs(graph.pattern_counts(postings(spark, sf))).select(text("template"), text("instance"))
-
-
 def xcount(spark: SparkSession, sf: str) -> DataFrame:
     posts = postings(spark, sf)
     rows = graph.exclusive_counts(posts, graph.subsumption(graph.pattern_counts(posts)))
@@ -122,7 +118,7 @@ def top_successors(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        model_counts, sentence_counts, reverse_index_size, rel_children, rel_successors, rel_predecessors, rel_cooc, rel_cooc_directed, rel_pmi, rel_npmi, pair_pmi, rel_templates, xcount,
+        model_counts, sentence_counts, reverse_index_size, rel_children, rel_successors, rel_predecessors, rel_cooc, rel_cooc_directed, rel_pmi, rel_npmi, pair_pmi, xcount,
         transitive_reduction, relation_stats, graph_listing, top_successors,
     )
 }
@@ -153,8 +149,6 @@ ORACLE = {
     "pair_pmi": f"""WITH {_SUCC}, d AS (SELECT DISTINCT t, sid FROM occ), j AS (SELECT src AS a, dst AS b, count(*) AS joint FROM succ JOIN d x ON x.t = src JOIN d y ON y.t = dst AND y.sid = x.sid WHERE w >= 10 AND src <> dst GROUP BY src, dst)
       SELECT j.a, j.b, joint, round(ln(joint / (p.cnt * q.cnt)), 8) AS pmi, round(ln(joint / (p.cnt * q.cnt)) / -ln(joint / (SELECT sum(cnt) FROM pat)), 8) AS npmi
       FROM j JOIN pat p ON p.t = j.a JOIN pat q ON q.t = j.b""",
-    "rel_templates": f"""WITH {_P} SELECT a.t AS template, b.t AS instance FROM pat a JOIN pat b ON a.n = b.n AND a.is_skip AND a.t <> b.t
-      WHERE len(list_filter(range(1, a.n + 1), lambda i: a.pattern[i] <> 0 AND a.pattern[i] <> b.pattern[i])) = 0""",
     "xcount": f"WITH {_EDGES}, {_X} SELECT pattern, cnt, xcount, round(xcount / cnt, 8) AS xratio FROM x",
     "transitive_reduction": f"WITH {_EDGES} SELECT parent, child FROM e EXCEPT SELECT a.parent, b.child FROM e a JOIN e b ON a.child = b.parent",
     "relation_stats": f"""WITH {_EDGES}, {_SUCC[len(_P) + 2:]}, {_COOC[len(_P) + 2:]}, u AS (SELECT 'child' AS rel, parent AS src FROM e UNION ALL SELECT 'parent', child FROM e
