@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,17 @@ class PatternModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokens: int = 0, indexed: bool = True, gap=P.GAP) -> PatternModel:
-        """An indexed model can be read without its postings."""
+        """An indexed model can be read without its postings; with them come those of skipgrams and their contents."""
         posts = tables.load_model(spark, path, "postings") if indexed else None
-        return cls(tables.load_model(spark, path), posts, None, tokens, gap)
+        skips = contents = None
+        if indexed:
+            try:
+                skips = tables.load_model(spark, path, "skip_postings")
+            except AnalysisException:
+                pass  # a model without skipgrams
+            else:
+                contents = skips.groupBy("pattern", "inst").agg(F.count(F.lit(1)).alias("c"))
+        return cls(tables.load_model(spark, path), posts, skips, tokens, gap, contents)
 
     def save(self, path: str) -> None:
         tables.save_model(path, self.patterns, self.postings, self.skip_postings)

@@ -117,20 +117,19 @@ def phrasetable_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrasetable_prune(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of copy a whose sides are words of the vocabulary."""
-    vocab = table(spark, sf, "vocab")
-    rows = _pt(spark, sf, "a").select("s", "t", "cnt")
-    return pt.prune_by_lists(rows, vocab.select(F.col("word").alias("s")), vocab.select(F.col("word").alias("t")))
+    """Pairs of copy a whose source has several targets in copy b, and whose target is in it."""
+    other = pt.distinct_pairs(_pt(spark, sf, "b"))
+    several = other.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s")
+    return pt.prune_by_lists(_pt(spark, sf, "a").select("s", "t", "cnt"), several, other.select("t").distinct())
 
 
 def phrasetable_simplify(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pt.simplify(pt.distinct_pairs(_pt(spark, sf, "a").filter("NOT exists(coalesce(sc, array()), x -> isnan(x))")))
+    rows = pt.simplify(pt.distinct_pairs(_pt(spark, sf, "a")))
     return rows.select("s", "t", F.coalesce(F.size("sc"), F.lit(0)).alias("n_scores"), F.round(F.get("sc", F.lit(1)), 9).alias("second"))
 
 
 def phrasetable_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    a = _pt(spark, sf, "a").filter("NOT exists(coalesce(sc, array()), x -> isnan(x))")
-    rows = pt.intersect(a, _pt(spark, sf, "b"))
+    rows = pt.intersect(_pt(spark, sf, "a"), _pt(spark, sf, "b"))
     return rows.select("s", "t", F.round(F.get("sc", F.lit(0)), 9).alias("first"), F.round(F.get("sc", F.lit(1)), 9).alias("second"))
 
 
@@ -294,7 +293,7 @@ def _em(rounds: int, null: bool) -> str:
 
 _X = r"""{x} AS (SELECT trim(s, E' \t') AS s, trim(t, E' \t') AS t, sc, wa, cnt FROM phrasetable_{x} WHERE s IS NOT NULL AND t IS NOT NULL)"""
 _A, _B = _X.format(x="a"), _X.format(x="b")
-_CLEAN = "c AS (SELECT s, t, max(sc) AS sc FROM a WHERE len(list_filter(coalesce(sc, []), lambda x: isnan(x))) = 0 GROUP BY s, t)"
+_CLEAN = "c AS (SELECT s, t, max(sc) AS sc FROM a GROUP BY s, t)"
 _SID = "('0x' || substr(md5(s || '|' || t), 1, 15))::BIGINT"
 
 
@@ -362,7 +361,7 @@ ORACLE = {
       SELECT src, tgt, kw, round(n / loc / nc, 8) AS p FROM l WHERE wi < nt AND loc >= 2""",
     "phrasetable_flatten": r"""WITH d AS (SELECT trim(source, E' \t') AS s, trim(target, E' \t') AS t FROM phrasepairs WHERE source IS NOT NULL AND target IS NOT NULL),
       c AS (SELECT s, t, count(*) AS rows FROM d GROUP BY s, t) SELECT s, t, rows, round(1.0::DOUBLE / sum(rows) OVER (PARTITION BY s), 9) AS p_ts, round(1.0::DOUBLE / sum(rows) OVER (PARTITION BY t), 9) AS p_st FROM c""",
-    "phrasetable_prune": f"WITH {_A} SELECT s, t, cnt FROM a WHERE s IN (SELECT word FROM vocab) AND t IN (SELECT word FROM vocab)",
+    "phrasetable_prune": f"WITH {_A}, {_B} SELECT s, t, cnt FROM a WHERE s IN (SELECT s FROM b GROUP BY s HAVING count(DISTINCT t) > 1) AND t IN (SELECT t FROM b)",
     "phrasetable_simplify": f"""WITH {_A}, {_CLEAN} SELECT s, t, CAST(coalesce(CASE WHEN len(sc) = 5 THEN 2 ELSE len(sc) END, 0) AS INT) AS n_scores, round(CASE WHEN len(sc) = 5 THEN sc[3] ELSE sc[2] END, 9) AS second FROM c""",
     "phrasetable_intersect": f"""WITH {_A}, {_B}, {_CLEAN} SELECT s, t, round(sc[1], 9) AS first, round(CASE WHEN len(sc) = 5 THEN sc[3] ELSE sc[2] END, 9) AS second FROM c WHERE (s, t) IN (SELECT (s, t) FROM b)""",
     "phrasetable_overlap": f"WITH {_A}, {_B} "

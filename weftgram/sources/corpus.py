@@ -250,7 +250,9 @@ def decode_range(corpus: DataFrame, vocab: DataFrame, start: int | None = None,
 def hash_split(corpus: DataFrame, shares: dict[str, int], seed: int = 0) -> DataFrame:
     """Add ``part``: the same division into shares (of their sum) on every run."""
     whole = sum(shares.values())
-    at = F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(whole))
+    # a published hash, so that any other system can make the same division
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("sid").cast("string")))
+    at = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % whole
     part, up_to = None, 0
     for name, share in shares.items():
         up_to += share
