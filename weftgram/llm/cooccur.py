@@ -161,19 +161,22 @@ def cooccurring_pairs(df: DataFrame, item: str, basket: str, min_count: int, min
         largest = kept.groupBy("s").count().filter(F.col("count") > GIANT).orderBy(F.desc("count"), "s").limit(min_count - 1)
         giants = [r["s"] for r in largest.collect()]  # under min_count rows
     usual = kept.filter(~F.col("s").isin(giants)) if giants else kept
-    large = cut_lineage(usual.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / GIANT).cast("int").alias("nb")).filter("nb > 1"))
-    parts = usual.join(small(large), "s", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int"))
-    lists = parts.groupBy("s", "block").agg(F.sort_array(F.collect_list("i")).alias("l"), F.first("nb").alias("nb"))
-    first = lists.select("l", F.posexplode("l").alias("at", "a"))
-    # the items after a in its own basket, or its block of one
-    pairs = first.select("a", F.explode(F.slice("l", F.col("at") + 2, F.size("l"))).alias("b"))
-    if not large.isEmpty():
+    def following(lists: DataFrame) -> DataFrame:
+        """Pairs of an item and those after it in its list."""
+        return lists.select("l", F.posexplode("l").alias("at", "a")).select("a", F.explode(F.slice("l", F.col("at") + 2, F.size("l"))).alias("b"))
+
+    if int(basket_classes.most.max()) <= GIANT:
+        pairs = following(usual.groupBy("s").agg(F.sort_array(F.collect_list("i")).alias("l")))
+    else:
+        large = cut_lineage(usual.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / GIANT).cast("int").alias("nb")).filter("nb > 1"))
+        parts = usual.join(small(large), "s", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        parts = parts.withColumn("block", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int"))
+        lists = parts.groupBy("s", "block").agg(F.sort_array(F.collect_list("i")).alias("l"), F.first("nb").alias("nb"))
         cut = lists.filter("nb > 1")
         further = cut.filter(F.col("block") + 1 < F.col("nb")).select("s", F.col("l").alias("x"), F.explode(F.sequence(F.col("block") + 1, F.col("nb") - 1)).alias("block"))
         across = further.join(cut.select("s", "block", F.col("l").alias("y")), ["s", "block"])
         across = across.select("y", F.explode("x").alias("u")).select("u", F.explode("y").alias("v"))
-        pairs = pairs.unionByName(across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        pairs = following(lists).unionByName(across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count - len(giants))
     if giants:
         bit = F.aggregate(F.array(*map(F.lit, giants)), F.struct(F.lit(0).alias("m"), F.lit(1).alias("p")), lambda acc, g: F.struct(F.when(F.col("s") == g, acc["p"]).otherwise(acc["m"]).alias("m"), (acc["p"] * 2).alias("p")))["m"]
