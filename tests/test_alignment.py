@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from weftgram.functions import patterns as P
 from weftgram.operators import align, classify, decode, lm, wordalign
 from weftgram.operators import phrasetables as pt
 from weftgram.plans import align_queries, pipeline
@@ -384,3 +385,22 @@ def test_contexts(spark):
     table = spark.createDataFrame([("a f b", "x", 1.0), ("f", "y", 0.5)], "src string, tgt string, score double")
     asked = spark.createDataFrame([(1, "a f b", "f"), (2, "c f b", "f"), (3, "q", "q")], "qid int, in_context string, focus string")
     assert sorted((r["qid"], r["tgt"]) for r in align.options_with_fallback(asked, table).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_classifier_training(spark):
+    """Models need enough instances and accuracy; options of others keep their score."""
+    data = [(["a"], ["l", "a", str(i % 2)], "x" if i % 2 else "y", 1.0) for i in range(8)] + [(["b"], ["l", "b", str(i)], "xy"[i % 2], 1.0) for i in range(6)] + [(["c"], ["l", "c", "0"], "x", 1.0)]
+    rows = spark.createDataFrame(data, "focus array<string>, features array<string>, label string, weight double")
+    held, passed = classify.train(rows, "pattern", 2, 2, 3, 0.9)
+    assert {r["model_id"]: (r["n"], r["accuracy"]) for r in passed.collect()} == {"a": (8.0, 1.0)}
+    assert sorted((r["label"], r["weight"]) for r in held.collect()) == [("x", 4.0), ("y", 4.0)]
+    options = spark.createDataFrame([(1, "a", "x", -1.0), (1, "a", "y", -1.0), (2, "b", "x", -1.0)], "qid int, model_id string, tgt string, lp double")
+    dist = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.1), (2, "x", 0.5)], "qid int, label string, p double")
+    got = {(r["qid"], r["tgt"]): (r["lp"], r["extra"]) for r in classify.bypass(options, dist, passed, "append").collect()}
+    assert got == {(1, "x"): (-1.0, pytest.approx(math.log(0.9))), (1, "y"): (-1.0, pytest.approx(math.log(0.1))), (2, "x"): (-1.0, 0.0)}
+
+
+def test_skipgram_of(spark):
+    df = spark.createDataFrame([([["a"], ["b", "c"]], [2], False), ([["a"]], [1, 3], True), ([["a"], ["b"]], [], False), ([["a"]], [0], True)], "p array<array<string>>, g array<int>, f boolean")
+    got = [r[0] for r in df.select(P.skipgram_of("p", "g", F.col("f"), "{*}")).collect()]
+    assert got == [["a", "{*}", "{*}", "b", "c"], ["{*}", "a", "{*}", "{*}", "{*}"], None, None]

@@ -97,11 +97,16 @@ def exclusive_coverage(corpus: DataFrame, postings: DataFrame, xcounts: DataFram
     return with_scalars(with_scalars(corpus_tokens(corpus), covered), types)
 
 
-def query_mode(found: DataFrame, patterns: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``sid, pos, pattern, cnt, coverage`` of patterns found in a text (``mining.find_patterns``)."""
-    rows = found.join(patterns.select("pattern", "cnt"), "pattern")
-    rows = with_scalars(rows, tokens.select(F.col("tokens").alias("total")))
-    return rows.select("sid", "pos", "pattern", "cnt", (F.col("cnt") * F.size("pattern") / F.col("total")).alias("coverage"))
+def query_mode(found: DataFrame, patterns: DataFrame, tokens: DataFrame, xcounts: DataFrame | None = None) -> DataFrame:
+    """``sid, pos, pattern, cnt, coverage`` of patterns found in a text (``mining.find_patterns``).
+
+    With ``graph.exclusive_counts`` also ``xcount, xratio``.
+    """
+    counts = patterns.select("pattern", "cnt")
+    if xcounts is not None:
+        counts = counts.join(xcounts.select("pattern", "xcount", "xratio"), "pattern", "left")
+    rows = with_scalars(found.join(counts, "pattern"), tokens.select(F.col("tokens").alias("total")))
+    return rows.select("sid", "pos", "pattern", "cnt", (F.col("cnt") * F.size("pattern") / F.col("total")).alias("coverage"), *counts.columns[2:])
 
 
 def select_patterns(

@@ -190,10 +190,10 @@ def recombine(pairs: DataFrame) -> DataFrame:
     return made.join(pairs, ["sid", "s_pos", "src", "t_pos", "tgt"], "left_anti")
 
 
-def pair_counts(pairs: DataFrame, weighted: bool = False, least: int = 0) -> DataFrame:
-    """``src, tgt, c`` of extracted pairs, counted or weighted by score."""
+def pair_counts(pairs: DataFrame, weighted: bool = False, least: float = 0, context: list[str] | None = None) -> DataFrame:
+    """``src, tgt, c`` of extracted pairs, counted or weighted by score, by further ``context`` columns on demand."""
     c = F.sum("score") if weighted else F.count(F.lit(1)).cast("double")
-    return pairs.groupBy("src", "tgt").agg(c.alias("c")).filter(F.col("c") >= least)
+    return pairs.groupBy(*(context or []), "src", "tgt").agg(c.alias("c")).filter(F.col("c") >= least)
 
 
 def matrix_html(points: DataFrame, source: DataFrame, target: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:

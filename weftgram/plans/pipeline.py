@@ -80,6 +80,25 @@ def word_error_rate(pairs: DataFrame) -> DataFrame:
     return rows.agg(F.sum("errors").alias("errors"), F.sum("words").alias("words")).withColumn("wer", F.col("errors") / F.nullif("words", F.lit(0)))
 
 
+def position_independent_error_rate(pairs: DataFrame) -> DataFrame:
+    """One row: ``errors, words, per`` of ``hypothesis, reference`` texts, whatever the order of words.
+
+    Words that do not meet count once, on the longer side.
+    """
+    words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
+    rows = pairs.select(words("hypothesis").alias("h"), words("reference").alias("r"))
+    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    met = F.aggregate(F.array_distinct("h"), F.lit(0), lambda t, w: t + F.least(count("h", w), count("r", w)))
+    per = rows.select((F.greatest(F.size("h"), F.size("r")) - met).alias("errors"), F.size("r").alias("words"))
+    return per.agg(F.sum("errors").alias("errors"), F.sum("words").alias("words")).withColumn("per", F.col("errors") / F.nullif("words", F.lit(0)))
+
+
+def average_runs(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric, mean, runs`` of a table with one row of scores for each run."""
+    long = runs.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x"))
+    return long.groupBy("x.metric").agg(F.avg("x.value").alias("mean"), F.count("x.value").alias("runs"))
+
+
 def bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
     """One row: corpus BLEU of ``hypothesis, reference`` texts, one reference each."""
     words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")

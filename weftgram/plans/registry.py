@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgram.plans import align_queries, corpus_queries, data_queries, graph_queries, skipgram_queries, table_queries
+from weftgram.plans import align_queries, corpus_queries, data_queries, graph_queries, option_queries, skipgram_queries, table_queries
 
-MODULES = [corpus_queries, graph_queries, skipgram_queries, align_queries, table_queries, data_queries]
+MODULES = [corpus_queries, graph_queries, skipgram_queries, align_queries, option_queries, table_queries, data_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
