@@ -211,15 +211,15 @@ def _table_align(spark: SparkSession, sf: str) -> DataFrame:
 
 def decode_options(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct sources of phrase table copy a with their translation options."""
-    corpus, _, _ = _sided(spark, sf)
-    return decode.count_options(corpus, _table_align(spark, sf), 4)
+    corpus, standing = decode.once_each(_sided(spark, sf)[0])
+    return decode.for_all(decode.count_options(corpus, _table_align(spark, sf), 4), standing)
 
 
 def decode_beam(spark: SparkSession, sf: str) -> DataFrame:
-    corpus, _, _ = _sided(spark, sf)
+    corpus, standing = decode.once_each(_sided(spark, sf)[0])
     options = decode.make_options(corpus, _table_align(spark, sf), 4)
     search = decode.Search(weights=(1.0, 1.0), distortion_limit=3)
-    return decode.decode(corpus, options, _lm(spark, sf), search).select("sid", "rank", "output", F.round("score", 6).alias("score"))
+    return decode.for_all(decode.decode(corpus, options, _lm(spark, sf), search), standing).select("sid", "rank", "output", F.round("score", 6).alias("score"))
 
 
 def _instances(spark: SparkSession, sf: str) -> DataFrame:
