@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgram.operators import graph
-from weftgram.runtime import table, with_scalars
+from weftgram.runtime import cut_lineage, table, with_scalars
 
 #: Sentences an n-gram needs to take part in co-occurrence, and common positions of an edge.
 LEAST_SENTENCES, LEAST_EDGE = 20, 5
@@ -97,13 +96,13 @@ def transitive_reduction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relation_stats(spark: SparkSession, sf: str) -> DataFrame:
-    posts = postings(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    posts = cut_lineage(postings(spark, sf))
     edges = graph.build_graph(posts, None, LEAST_SENTENCES, LEAST_EDGE, ["child", "parent", "successor", "predecessor", "cooc"])
     return graph.relation_stats(edges)
 
 
 def graph_listing(spark: SparkSession, sf: str) -> DataFrame:
-    posts = postings(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    posts = cut_lineage(postings(spark, sf))
     patterns = graph.pattern_counts(posts)
     wanted = ["child", "parent", "successor"]
     edges = graph.build_graph(posts, None, relations=wanted)

@@ -5,22 +5,30 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgram.operators import align, mining
+from weftgram.runtime import with_scalars
 from weftgram.sources import corpus as C
 
 
-def _marker(spark: SparkSession, path: str, name: str):
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), marker
+def made_from(spark: SparkSession, path: str) -> str | None:
+    """The key that a complete table was written with; None without one."""
+    try:
+        return spark.read.text(f"{path}.made_from").first()["value"]
+    except AnalysisException:
+        return None
 
 
-def exists(spark: SparkSession, path: str, name: str = "_SUCCESS") -> bool:
-    """Whether a written table is complete, on any file system Spark knows."""
-    files, marker = _marker(spark, path, name)
-    return files.exists(marker)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table is at the path."""
+    return bool(made_from(spark, path))
+
+
+def _mark(spark: SparkSession, path: str, made: str) -> None:
+    spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.made_from")
 
 
 def content_key(words: DataFrame) -> str:
@@ -34,13 +42,12 @@ def key(*parts) -> str:
     return hashlib.md5(repr(parts).encode()).hexdigest()
 
 
-def stage(spark: SparkSession, path: str, made_from: str, make: Callable[[], DataFrame]) -> DataFrame:
+def stage(spark: SparkSession, path: str, key_of: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Read the table at path, making and writing it first unless it was made from the same key."""
-    name = f"_FROM_{made_from}"
-    if not (exists(spark, path) and exists(spark, path, name)):
+    if made_from(spark, path) != key_of:
+        _mark(spark, path, "")  # what was there before is no longer complete
         make().write.mode("overwrite").parquet(path)
-        files, marker = _marker(spark, path, name)
-        files.create(marker).close()
+        _mark(spark, path, key_of)
     return spark.read.parquet(path)
 
 
@@ -112,8 +119,6 @@ def bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
     per = met.groupBy(F.size("g").alias("n")).agg(F.sum(F.least("h", "r")).alias("hit"), F.sum("h").alias("made"))
     precision = per.filter(f"n <= {max_n}").agg(F.avg(F.log(F.col("hit") / F.col("made"))).alias("lp"), F.min("hit").alias("least"), F.count(F.lit(1)).alias("k"))
     sizes = rows.agg(F.sum(F.size("h")).alias("hl"), F.sum(F.size("r")).alias("rl"))
-    from weftgram.runtime import with_scalars
-
     both = with_scalars(precision, sizes)
     brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
     return both.select(F.when((F.col("k") == max_n) & (F.col("least") > 0), brevity * F.exp("lp")).otherwise(0.0).alias("bleu"))
