@@ -133,8 +133,8 @@ def encode_texts(df: DataFrame, rank_path: str, doc_id: str = "doc_id", text: st
         encoder = worker_encoder(rank_file)
         for batch in batches:
             begin, lists, held = 0, [], 0
-            for i, text in enumerate(batch.column(1)):
-                lists.append(encoder.encode(text.as_py()) if text.is_valid else [])
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                lists.append(encoder.encode(text) if text else [])
                 held += len(lists[-1])
                 # long texts leave in batches of their own
                 if held >= BATCH_IDS or i + 1 == batch.num_rows:
