@@ -90,6 +90,19 @@ def _page(name: str) -> tuple[dict[int, str], dict[int, str]]:
 
 _PAGES = {name: _page(name) for name in {*READ_AS, *(n for swap in SWAPS for n in swap)}}
 
+
+class _ToBytes(dict):
+    """Translation table of a page to its bytes; what the page has not becomes ``_UNMAPPED``."""
+
+    def __missing__(self, n: int):
+        self[n] = found = n if n < 0x80 else _UNMAPPED
+        return found
+
+
+_TO_BYTES = {name: _ToBytes(encode) for name, (encode, _) in _PAGES.items()}
+_HELD = {name: frozenset(map(chr, encode)) for name, (encode, _) in _PAGES.items()}
+_SWAPPING = {(read_as, written_in): {c: _PAGES[written_in][1][ord(b)] for c, b in _PAGES[read_as][0].items()} for read_as, written_in in SWAPS}
+
 #: Russian letters from frequent to rare (fixed values).
 _RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйёхжшюцщэфъ"
 #: Latin letters beyond ASCII in European spelling (fixed values).
@@ -207,8 +220,7 @@ def implausibility(text: str) -> float:
 
 def _through_utf8(text: str, page: str) -> str:
     """Encode with a code page and decode every complete UTF-8 sequence in the bytes."""
-    encode = _PAGES[page][0]
-    as_bytes = "".join(c if c < "\x80" else encode.get(ord(c), _UNMAPPED) for c in text)
+    as_bytes = text.translate(_TO_BYTES[page])
     out, done = [], 0
     for m in _UTF8.finditer(as_bytes):
         out += [text[done : m.start()], m.group().encode("latin-1").decode("utf-8")]
@@ -216,18 +228,14 @@ def _through_utf8(text: str, page: str) -> str:
     return "".join([*out, text[done:]]) if out else text
 
 
-def _swapped(text: str, read_as: str, written_in: str) -> str | None:
+def _beyond_ascii(text: str) -> set[str]:
+    return {c for c in text if c >= "\x80"}
+
+
+def _swapped(text: str, read_as: str, written_in: str, beyond: set[str] | None = None) -> str | None:
     """Encode wholly with one code page and decode with another."""
-    encode, decode = _PAGES[read_as][0], _PAGES[written_in][1]
-    out = []
-    for c in text:
-        if c < "\x80":
-            out.append(c)
-        elif (byte := encode.get(ord(c))) is not None:
-            out.append(decode[ord(byte)])
-        else:
-            return None
-    return "".join(out)
+    beyond = _beyond_ascii(text) if beyond is None else beyond
+    return text.translate(_SWAPPING[read_as, written_in]) if beyond <= _HELD[read_as] else None
 
 
 def _may_swap(word: str) -> bool:
@@ -259,8 +267,9 @@ def _steps(text: str, swap: bool) -> Iterator[tuple[str, str]]:
         if after != text:
             yield f"{page}>utf-8", after
     if swap:
+        beyond = _beyond_ascii(text)
         for read_as, written_in in SWAPS:
-            after = _swapped(text, read_as, written_in)
+            after = _swapped(text, read_as, written_in, beyond)
             if after is not None and after != text:
                 yield f"{read_as}>{written_in}", after
     if "&" in text and (after := html.unescape(text)) != text:
@@ -409,25 +418,35 @@ def evidence(word: str) -> tuple[tuple[str, str, float, float], ...]:
         hi -= 1
     whole, inner = implausibility(word), implausibility(word[lo:hi])
     inside = _R_AT_END.sub("*", word)
-    out = []
+    out, beyond = [], _beyond_ascii(word)
+    weighed: dict[str, tuple[float, float]] = {}  # pages that differ little often give the same word
     for read_as, written_in in SWAPS:
-        after = _swapped(word, read_as, written_in)
-        if after is not None and after != word:
-            gain = whole - implausibility(after)
+        after = _swapped(word, read_as, written_in, beyond)
+        if after is None or after == word:
+            continue
+        if after not in weighed:
+            cost = implausibility(after)
+            gain = whole - cost
             speaks = gain if hi - lo == len(word) else min(gain, inner - implausibility(after[lo:hi]))
-            # a rarer letter is no sign of a misreading, save the Slovak one outside its place between consonants
-            speaks -= sum(max(0.0, _char(a)[2] - _char(b)[2]) for a, b in zip(inside, after, strict=True) if a != b and _char(a)[1] == _char(b)[1] == "latin")
-            if written_in in ("cp1254", "iso8859-9"):
-                # Icelandic has the letters that would be read so, and others that Turkish has not
-                turned = sum(a != b and a in "ýþðÝÞÐ" for a, b in zip(word, after, strict=True))
-                # and no Turkish ğ stands but after a vowel
-                never = sum(c in "áíóúéæàãõñěščřžÁÍÓÚÉÆ" for c in word) + len(_NOT_AFTER_VOWEL.findall(word))
-                speaks = min(0.7 * turned, 2.1) - 2.0 * never if turned else min(speaks, 0.0)
-                gain = speaks
-            changed = [(_spelled(a), _spelled(b)) for a, b in zip(word, after, strict=True) if a != b]
-            if sum(b for _, b in changed) <= sum(a and not b for a, b in changed):
-                speaks = min(speaks, 0.0)  # letters became signs
-            out.append((f"{read_as}>{written_in}", after, speaks, gain))
+            gained = lost = 0
+            for before, there, a in zip(word, inside, after, strict=True):
+                if before == a and there == a:
+                    continue
+                b_letter, a_letter = _spelled(before), _spelled(a)
+                if before != a:
+                    gained, lost = gained + a_letter, lost + (b_letter and not a_letter)
+                # a rarer letter is no sign of a misreading, save the Slovak one outside its place between consonants
+                if there != a and _char(there)[1] == _char(a)[1] == "latin":
+                    speaks -= max(0.0, _char(there)[2] - _char(a)[2])
+            weighed[after] = gain, min(speaks, 0.0) if gained <= lost else speaks  # letters became signs
+        gain, speaks = weighed[after]
+        if written_in in ("cp1254", "iso8859-9"):
+            # Icelandic has the letters that would be read so, and others that Turkish has not
+            turned = sum(a != b and a in "ýþðÝÞÐ" for a, b in zip(word, after, strict=True))
+            # and no Turkish ğ stands but after a vowel
+            never = sum(c in "áíóúéæàãõñěščřžÁÍÓÚÉÆ" for c in word) + len(_NOT_AFTER_VOWEL.findall(word))
+            speaks = gain = min(0.7 * turned, 2.1) - 2.0 * never if turned else min(speaks, 0.0)
+        out.append((f"{read_as}>{written_in}", after, speaks, gain))
     return tuple(out)
 
 
@@ -598,7 +617,7 @@ class Repairer:
 
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """The text restored, and whether it is a case."""
-        if not text or (text.isascii() and not _REFERENCES.search(text)):
+        if not text or (text.isascii() and not ("&" in text and _REFERENCES.search(text))):
             return text, False
         text, foreign = self.foreign(text)
         repairs: dict[str, str] = {}
