@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from weftgram import runtime
 from weftgram.functions import patterns as P
 from weftgram.functions.gaps import gap_masks
 from weftgram.operators import graph, mining, reports
@@ -35,7 +36,7 @@ def test_golden_counts(corpus):
 
 
 def test_without_broadcast(corpus, monkeypatch):
-    monkeypatch.setattr(mining, "BROADCAST_PATTERNS", 0)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
     assert named(mining.mine_ngrams(corpus, 4, 2)) == GOLDEN
 
 

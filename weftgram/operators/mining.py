@@ -269,18 +269,22 @@ def template_pairs(patterns: DataFrame, gap=P.GAP) -> DataFrame:
     return punched.join(skips.select("template"), "template", "left_semi").filter("template <> instance").select("template", "instance")
 
 
-def find_patterns(corpus: DataFrame, model: DataFrame, min_n: int = 1, max_n: int = 9, gap=P.GAP) -> DataFrame:
+def find_patterns(corpus: DataFrame, model: DataFrame, min_n: int = 1, max_n: int = 9, gap=P.GAP, known_fillings: bool = False) -> DataFrame:
     """``sid, pos, pattern, n``: every known pattern in a text, skipgrams included.
 
-    A skipgram is found where a known n-gram fills it, so which n-grams do is settled once
-    on the model, and the text's windows only meet the model's n-grams.
+    With ``known_fillings`` a skipgram is found only where an n-gram of the model fills it;
+    which n-grams do is settled once on the model, and the text's windows only meet its n-grams.
     """
     sized = model.filter(F.size("pattern").between(min_n, max_n)).select("pattern")
-    found = postings(corpus, sized.filter(~P.is_skipgram("pattern", gap)), max_n, min_n)
-    pairs = template_pairs(sized, gap).filter(~P.is_skipgram("instance", gap))
-    skips = found.withColumnRenamed("pattern", "instance").join(pairs, "instance")
     columns = ["sid", "pos", "pattern", "n"]
-    return found.select(*columns).unionByName(skips.withColumnRenamed("template", "pattern").select(*columns))
+    found = postings(corpus, sized.filter(~P.is_skipgram("pattern", gap)), max_n, min_n)
+    if known_fillings:
+        pairs = template_pairs(sized, gap).filter(~P.is_skipgram("instance", gap))
+        skips = found.withColumnRenamed("pattern", "instance").join(pairs, "instance").withColumnRenamed("template", "pattern")
+        return found.select(*columns).unionByName(skips.select(*columns))
+    skips = find_skipgrams(corpus, sized, max_n, gap)
+    out = found.select(*columns)
+    return out if skips is None else out.unionByName(skips.select("sid", "pos", "pattern", F.size("pattern").alias("n")))
 
 
 def skip_entropy(contents: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ REST = "kind IS DISTINCT FROM 'prose'"
 def skip_query_mode(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns of the prose as they are found in all other documents, skipgrams where a known n-gram fills them."""
     train = model(spark, sf, "kind = 'prose'")
-    found = mining.find_patterns(sentences(spark, sf, REST), train.patterns, 1, MAX_N, GAP).select("sid", "pos", "pattern")
+    found = mining.find_patterns(sentences(spark, sf, REST), train.patterns, 1, MAX_N, GAP, True).select("sid", "pos", "pattern")
     rows = reports.query_mode(found, train.patterns, reports.corpus_tokens(sentences(spark, sf, "kind = 'prose'")))
     return rows.select("sid", "pos", text().alias("text"), "cnt", F.round("coverage", 10).alias("coverage"))
 
