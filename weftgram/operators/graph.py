@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
 from weftgram.operators.mining import template_pairs
-from weftgram.runtime import cut_lineage, with_scalars
+from weftgram.runtime import cut_lineage, global_rank, small, with_scalars
 
 RELATIONS = ["child", "parent", "successor", "predecessor", "cooc", "skipcontent", "skipusage", "template", "instance"]
 
@@ -26,6 +26,11 @@ def clean_postings(raw: DataFrame) -> DataFrame:
     return rows.select("pattern", F.size("pattern").alias("n"), "sid", "pos")
 
 
+def by_sentence(raw: DataFrame) -> DataFrame:
+    """The same, moved once: all occurrences of a sentence stand in one partition."""
+    return clean_postings(raw.select("pattern", "sid", "pos").dropna().repartition("sid"))
+
+
 def pattern_counts(postings: DataFrame, gap=P.GAP) -> DataFrame:
     """``pattern, n, is_skip, cnt`` of a posting table."""
     counts = postings.groupBy("pattern").agg(F.count(F.lit(1)).alias("cnt"))
@@ -88,12 +93,36 @@ def cooccurrence(postings: DataFrame, least_sentences: int, least: int = 1, dire
     return sums.select(F.explode(ways).alias("e")).select("e.src", "e.dst", "e.w").filter((F.col("w") >= least) & (F.col("w") > 0))
 
 
+def followed(postings: DataFrame) -> DataFrame:
+    """``src, dst, w`` as by ``successors``, and the occurrences of every pattern under a null dst.
+
+    ``postings`` stand by sentence; each sentence is gathered and looks up its own successors, so
+    occurrences are not moved again.
+    """
+    held = postings.groupBy("sid").agg(F.collect_list(F.struct("pos", "pattern")).alias("held"))
+    each = held.select("held", F.explode("held").alias("o")).select(F.col("o.pattern").alias("src"), "held", (F.col("o.pos") + F.size("o.pattern")).alias("at"))
+    own = F.array(F.struct(F.col("at").alias("pos"), F.lit(None).alias("pattern")))
+    rows = each.select("src", "at", F.explode(F.concat(own, "held")).alias("o")).filter(F.col("o.pos") == F.col("at")).select("src", F.col("o.pattern").alias("dst"))
+    return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+
+
 def shared_sentences(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, joint``: sentences common to the two patterns of each given pair."""
-    held = postings.select("pattern", "sid").distinct()
-    left = pairs.join(held.select(F.col("pattern").alias("a"), "sid"), "a")
-    both = left.join(held.select(F.col("pattern").alias("b"), "sid"), ["b", "sid"])
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint"))
+    """``a, b, joint``: sentences common to the two patterns of each given pair.
+
+    The patterns of the pairs are numbered. A sentence names the pairs of its own patterns, so the
+    work grows with the sentences, not with the pairs of a frequent pattern times its sentences.
+    Repeated postings do no harm.
+    """
+    pairs = cut_lineage(pairs.select("a", "b"))
+    ends = cut_lineage(global_rank(pairs.select(F.explode(F.array("a", "b")).alias("pattern")).distinct(), F.col("pattern")))
+    numbers, n = small(ends), F.lit(ends.count())
+    x, y = (numbers.select(F.col("pattern").alias(k), F.col("rank").alias(f"r_{k}")) for k in ("a", "b"))
+    code = F.least("r_a", "r_b") * n + F.greatest("r_a", "r_b")
+    coded = cut_lineage(pairs.join(x, "a").join(y, "b").select("a", "b", code.alias("code")))
+    held = postings.select("pattern", "sid").join(numbers, "pattern").groupBy("sid").agg(F.sort_array(F.collect_set("rank")).alias("held"))
+    each = held.select("held", F.posexplode("held").alias("i", "x")).select("x", F.explode(F.slice("held", F.col("i") + 1, F.size("held"))).alias("y"))
+    asked = each.select((F.col("x") * n + F.col("y")).alias("code")).join(small(coded.select("code").distinct()), "code", "left_semi")
+    return coded.join(asked.groupBy("code").agg(F.count(F.lit(1)).alias("joint")), "code").select("a", "b", "joint")
 
 
 def pmi(joint: Column, count_a: Column, count_b: Column) -> Column:
