@@ -152,22 +152,26 @@ def ranked_cooccurrence(edges: DataFrame, patterns: DataFrame, style: str = "cou
     return rows.select("src", "dst", "w", score.alias("score"))
 
 
-def skip_relations(skip_postings: DataFrame, patterns: DataFrame, gap=P.GAP) -> DataFrame:
+def skip_relations(contents: DataFrame, patterns: DataFrame, gap=P.GAP) -> DataFrame:
     """``src, dst, w``: a skipgram and the known patterns among its contents and their parts.
 
-    Each distinct content counts once for itself and for each of its parts.
+    Each distinct content counts once for itself and for each of its parts. ``contents`` is
+    ``pattern, content``, once each or by occurrence; a mined model has the former at hand.
     """
-    contents = skip_postings.select("pattern", "content").distinct()
+    contents = contents.select("pattern", "content").distinct()
     pieces = F.array_distinct(F.concat(F.array("content"), P.parts("content", gap)))
     rows = contents.select(F.col("pattern").alias("src"), F.explode(pieces).alias("dst"))
     known = patterns.select(F.col("pattern").alias("dst"))
     return rows.join(known, "dst", "left_semi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def instances(skip_postings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``template, instance``: skipgrams and the n-grams of the model that fill them."""
-    rows = skip_postings.select(F.col("pattern").alias("template"), F.col("inst").alias("instance")).distinct()
-    return rows.join(patterns.select(F.col("pattern").alias("instance")), "instance", "left_semi").select("template", "instance")
+def instances(contents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``template, instance``: skipgrams and the n-grams of the model that fill them.
+
+    ``contents`` is ``pattern, inst``, once each or by occurrence; a mined model has the former at hand.
+    """
+    rows = contents.select(F.col("pattern").alias("template"), F.col("inst").alias("instance"))
+    return rows.join(patterns.select(F.col("pattern").alias("instance")), "instance", "left_semi").select("template", "instance").distinct()
 
 
 def sibling_templates(instance_edges: DataFrame, gap=P.GAP) -> DataFrame:
