@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgram.functions import patterns as P
 from weftgram.operators import graph, mining, reports
+from weftgram.operators.numbered import Numbered
 from weftgram.sources import tables
 
 
@@ -20,18 +21,24 @@ class PatternModel:
     contained. Iteration streams the patterns, a partition at a time.
     """
 
-    def __init__(self, patterns: DataFrame, postings: DataFrame | None = None, skip_postings: DataFrame | None = None, tokens: int = 0, gap=P.GAP, contents: DataFrame | None = None):
-        self.patterns, self.postings, self.skip_postings, self.tokens, self.gap, self.contents = patterns, postings, skip_postings, tokens, gap, contents
+    def __init__(self, patterns: DataFrame, postings: DataFrame | None = None, skip_postings: DataFrame | None = None, tokens: int = 0, gap=P.GAP, contents: DataFrame | None = None, numbered: Numbered | None = None):
+        self.patterns, self.postings, self.skip_postings, self.tokens, self.gap, self.contents, self.numbered = patterns, postings, skip_postings, tokens, gap, contents, numbered
 
     @classmethod
     def train(cls, corpus: DataFrame, gap=P.GAP, **options) -> PatternModel:
         mined = mining.mine(corpus, gap=gap, **options)
         tokens = reports.corpus_tokens(corpus).first()["tokens"]
-        return cls(mined.patterns, mined.postings, mined.skip_postings, tokens, gap, mined.contents)
+        return cls(mined.patterns, mined.postings, mined.skip_postings, tokens, gap, mined.contents, mined.numbered)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokens: int = 0, indexed: bool = True, gap=P.GAP) -> PatternModel:
         """An indexed model can be read without its postings; with them come those of skipgrams and their contents."""
+        if indexed and (index := tables.load_index(spark, path)):
+            patterns, occurrences, contents = tables.load_model(spark, path), *index
+            posts = occurrences.join(patterns.filter("NOT is_skip").select("pattern"), "pattern", "left_semi")
+            skips = occurrences.select(F.col("pattern").alias("inst"), "sid", "pos").join(contents, "inst")
+            skips = skips.select("pattern", P.skip_content("inst", "pattern", gap).alias("content"), "inst", "sid", "pos")
+            return cls(patterns, posts, skips, tokens, gap, contents)
         posts = tables.load_model(spark, path, "postings") if indexed else None
         skips = contents = None
         if indexed:
@@ -44,6 +51,12 @@ class PatternModel:
         return cls(tables.load_model(spark, path), posts, skips, tokens, gap, contents)
 
     def save(self, path: str) -> None:
+        """A model in numbers keeps the windows of each sentence once, not each for every pattern on it."""
+        if self.numbered and (index := self.numbered.index()):
+            tables.save_model(path, self.patterns)
+            tables.save_index(path, *index, self.contents)
+            return
+        tables.drop_index(self.patterns.sparkSession, path)
         tables.save_model(path, self.patterns, self.postings, self.skip_postings)
 
     def _only(self, df: DataFrame, pattern: list) -> DataFrame:

@@ -84,7 +84,7 @@ def model_reload(spark: SparkSession, sf: str) -> DataFrame:
     """Contents of the skipgrams of an indexed model that was stored and read again."""
     path = folder(spark)
     found = sk.model(spark, sf)
-    PatternModel(found.patterns, found.postings, found.skip_postings, gap=P.WORD_GAP).save(path)
+    PatternModel(found.patterns, found.postings, found.skip_postings, gap=P.WORD_GAP, contents=found.contents, numbered=found.numbered).save(path)
     return PatternModel.load(spark, path, gap=P.WORD_GAP).contents.select(text().alias("text"), text("inst").alias("inst"), "c")
 
 
